@@ -86,8 +86,9 @@ def pack(docs: DataFrame, length: Column, key: tuple[str, ...], buckets: int = B
 
 
 def pack_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``pack`` by the number of words of each whole text; lengths are counted once and written, texts are not shuffled with them."""
+    """``pack`` by the number of words of each whole text.  Columns other than the text pass through; with them and the number of words rows are
+    ordered by a hash, and only these narrow rows are shuffled."""
     sized = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], word_count(F.col(text)).alias("_words"))
     sized = written(sized, "pack-sizes")
-    key = tuple(c for c in sized.columns if c != "_words")
-    return pack(sized, F.col("_words"), (*key, "_words"), **how).drop("_words")
+    key = tuple(sized.columns)
+    return pack(sized, F.col("_words"), key, **how).drop("_words")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 BPE_FILE = "byte_bpe_50k.json"
 
 
@@ -63,4 +66,34 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_token_counts, op6_token_files, op7_packing, op9_mixing)}
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_texts
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    scores = score_texts(docs, _crc(7) != 2)
+    return scores.select("doc_id", F.coalesce(_crc(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_docs(spark, sf_dir).select("doc_id", "text"))[0]
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir).select("doc_id", "text"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_ALL = (
+    op1_language_id, op2_embedding_dedup, op3_quality_rules, op4_token_counts, op5_lm_scores,
+    op6_token_files, op7_packing, op8_ngram_jaccard, op9_mixing, op10_substring_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
