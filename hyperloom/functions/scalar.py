@@ -26,5 +26,10 @@ def samples_for_error(variance: Column, truth: Column, eps: float = 0.1) -> Colu
     return F.when(truth <= 0, inf()).otherwise(F.try_divide(variance, F.pow(F.lit(eps) * truth, F.lit(2.0))))
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation; null where one side does not vary, which the built-in function takes for an error."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def nan_mean(x: Column) -> Column:
     return F.avg(F.nanvl(x, F.lit(None).cast("double")))

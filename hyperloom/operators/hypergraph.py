@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import graphs
 
 MAX_SIZE = 25
@@ -41,11 +42,21 @@ def _pairs(members: Column) -> Column:
 class Closure:
     def __init__(self, hyperedges: DataFrame):
         self.hyperedges = hyperedges
+        self._kept = False
 
     @classmethod
     def of(cls, incidence: DataFrame, max_size: int = MAX_SIZE) -> Closure:
         return cls(normalise(incidence, max_size))
 
+    def persisted(self) -> Closure:
+        """Computes the hyperedges, edges, cross triangles and counts once, for callers that ask many questions of one closure."""
+        if not self._kept:
+            self._kept = True
+            self.hyperedges = cut(self.hyperedges)
+            for name in ("edges", "degrees", "covered", "cross", "edge_t"):
+                self.__dict__[name] = cut(getattr(self, name))
+        return self
+
     @cached_property
     def incidence(self) -> DataFrame:
         return self.hyperedges.select("graph", "hid", "size", F.explode("members").alias("v"))

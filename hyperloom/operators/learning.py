@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import nan
+from ..functions.scalar import correlation, nan
 from . import mining, scores
 from .hypergraph import Closure
 from .sampling import capped_rows
@@ -97,6 +97,7 @@ def trees_weights(t: Trees, feats: DataFrame) -> DataFrame:
 def transfer(c: Closure, feats: DataFrame, blocks: tuple[str, ...] = ("A", "AB", "ABC"), lams: tuple[float, ...] = (1.0,), learner: str = "ridge", **kw) -> DataFrame:
     """train, test, block, lam, capture, pred_corr for every ordered pair of graphs.  capture = (s - 1) / (s_perfect - 1), s being the gain over
     uniform weights.  Each model scores all graphs in one pass; models are a few numbers and go along as literals."""
+    c = c.persisted()
     uni = scores.p_succ(c, scores.weighting(c, "uniform")).select(F.col("graph").alias("test"), F.col("p").alias("p_u"))
     perf = scores.p_succ(c, scores.weighting(c, "perfect")).select(F.col("graph").alias("test"), F.col("p").alias("p_p"))
     points = uni.join(perf, "test")
@@ -107,7 +108,7 @@ def transfer(c: Closure, feats: DataFrame, blocks: tuple[str, ...] = ("A", "AB",
             for train, model in models.items():
                 w = (ridge_weights if learner == "ridge" else trees_weights)(model, feats.filter(F.col("graph") != train))
                 p = scores.p_succ(c, w).select(F.col("graph").alias("test"), "p")
-                t = c.edge_t.select("graph", "u", "v", "t").join(w, ["graph", "u", "v"]).groupBy(F.col("graph").alias("test")).agg(F.corr(F.log1p("t"), F.log1p("w")).alias("pred_corr"))
+                t = c.edge_t.select("graph", "u", "v", "t").join(w, ["graph", "u", "v"]).groupBy(F.col("graph").alias("test")).agg(correlation(F.log1p("t"), F.log1p("w")).alias("pred_corr"))
                 gain = F.col("p_p") / F.col("p_u") - 1
                 row = points.join(p, "test").join(t, "test").select(
                     F.lit(train).alias("train"), "test", F.lit(block).alias("block"), F.lit(float(lam)).alias("lam"),

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import nan, ratio
+from ..functions.scalar import correlation, nan, ratio
 from . import graphs
 from .hypergraph import Closure
 
@@ -36,7 +36,7 @@ def rank_correlation(estimate: DataFrame, exact: DataFrame) -> DataFrame:
     for x in ("a", "b"):
         w = Window.partitionBy("graph")
         both = both.withColumn(f"r{x}", F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("graph", x)) - 1) / 2)
-    return both.groupBy("graph").agg(F.when(F.count(F.lit(1)) < 3, nan()).otherwise(F.corr("ra", "rb")).alias("rho"))
+    return both.groupBy("graph").agg(F.when(F.count(F.lit(1)) < 3, nan()).otherwise(correlation("ra", "rb")).alias("rho"))
 
 
 def profile(c: Closure) -> DataFrame:
@@ -117,7 +117,7 @@ def in_sample_fit(g: np.ndarray) -> tuple[float, float]:
     z = s / np.outer(sd + 1e-12, sd + 1e-12)
     beta = np.linalg.pinv(z[:-1, :-1], rcond=1e-10) @ z[:-1, -1]
     resid = (z[-1, -1] - 2 * beta @ z[:-1, -1] + beta @ z[:-1, :-1] @ beta) / n * (sd[-1] + 1e-12) ** 2
-    return max(corr, default=0.0), float(1 - resid / (sd[-1] ** 2 + 1e-12))
+    return float(max(corr, default=0.0)), float(1 - resid / (sd[-1] ** 2 + 1e-12))
 
 
 def feature_diagnosis(c: Closure, feats: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import correlation
 from . import graphs, scores
 from .hypergraph import Closure
 
@@ -47,7 +48,7 @@ def draws(c: Closure, weights: DataFrame, k: int, reps: int, seed: int = 0) -> D
     b = d.join(e, ["graph", "cell"]).filter("at >= low and at < top").select("graph", "rep", "draw", "u", "v", "w_xy", "big_w", F.col("nhy").alias("n1"))
     b = b.join(deg.toDF("graph", "u", "du"), ["graph", "u"]).join(deg.toDF("graph", "v", "dv"), ["graph", "v"])
     low = F.struct("du", "u") < F.struct("dv", "v")
-    b = b.select("graph", "rep", "draw", F.when(low, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("y"), F.greatest(F.struct("du", "u"), F.struct("dv", "v"))["du"].alias("dy"), "w_xy", "big_w", "n1")
+    b = b.select("graph", "rep", "draw", F.when(low, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("y"), F.when(low, F.col("dv")).otherwise(F.col("du")).alias("dy"), "w_xy", "big_w", "n1")
     # the closing neighbour: running sums around x in sub-cells of its neighbours
     s = graphs.slots(weights.join(c.edges.select("graph", "u", "v", "nhy"), ["graph", "u", "v"]), "w", "nhy").select("graph", "x", "c", (F.col("w") + 1).alias("w_xz"), F.col("nhy").alias("n2"))
     s = s.withColumn("sub", F.pmod(F.xxhash64("c"), F.lit(16)))
@@ -213,10 +214,10 @@ def bootstrap_slope(rows: DataFrame, y: str, x: str, b: int = 4000, seed: int =
     v = v.withColumn("i", F.row_number().over(Window.orderBy("x", "y")) - 1)
     n = v.count()
     pick = spark.range(b * max(n, 1)).select(F.floor(F.col("id") / max(n, 1)).alias("b"), F.floor(uniform(F.lit(seed), "id") * n).cast("int").alias("i"))
-    per = pick.join(F.broadcast(v), "i").groupBy("b").agg(F.regr_slope("y", "x").alias("slope"), F.corr("y", "x").alias("r"), F.stddev_pop("x").alias("sx")).filter("sx > 1e-9")
+    per = pick.join(F.broadcast(v), "i").groupBy("b").agg(F.regr_slope("y", "x").alias("slope"), correlation("y", "x").alias("r"), F.stddev_pop("x").alias("sx")).filter("sx > 1e-9")
     q = lambda c, p: F.percentile(c, F.lit(p))
     ci = per.agg(q("slope", 0.025).alias("slope_lo"), q("slope", 0.975).alias("slope_hi"), q("r", 0.025).alias("r_lo"), q("r", 0.975).alias("r_hi"))
-    fit = v.agg(F.regr_slope("y", "x").alias("slope"), F.corr("y", "x").alias("r"), F.count(F.lit(1)).alias("n"))
+    fit = v.agg(F.regr_slope("y", "x").alias("slope"), correlation("y", "x").alias("r"), F.count(F.lit(1)).alias("n"))
     out = fit.join(ci)
     return out.select(*[F.when(F.col("n") >= 4, F.col(c)).alias(c) for c in ("slope", "slope_lo", "slope_hi", "r", "r_lo", "r_hi")])
 

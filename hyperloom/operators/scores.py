@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import inf, nan, ratio, samples_for_error
+from ..functions.scalar import correlation, inf, nan, ratio, samples_for_error
 from . import graphs
 from .hypergraph import Closure
 
@@ -151,6 +151,7 @@ def wedge_weighted_cost(c: Closure, weights: DataFrame, eps: float = EPS, cross:
 
 def normalizer_inflation(c: Closure, eps: float = EPS) -> DataFrame:
     """How much a skewed weighting of mean 1 inflates the normalizers: global W, local D, quadratic T; and the gains of the two estimators."""
+    c = c.persisted()
     w = weighting(c, "perfect")
     mean = w.groupBy("graph").agg(F.avg(F.col("w") + 1).alias("mean"))
     scaled = w.join(mean, "graph").select("graph", "u", "v", ((F.col("w") + 1) / F.col("mean") - 1).alias("w"))
@@ -164,6 +165,7 @@ def normalizer_inflation(c: Closure, eps: float = EPS) -> DataFrame:
 
 def comparison(c: Closure, eps: float = EPS) -> DataFrame:
     """Words of state per method, and the cheapest one (the first in this order on ties)."""
+    c = c.persisted()
     parts = {
         "baseline": baseline_cost(c, eps), "wedge": wedge_cost(c, eps), "localized": weighted_cost(c, weighting(c, "uniform"), eps),
         "weighted": weighted_cost(c, weighting(c, "perfect"), eps), "edge_local": edge_local_cost(c, eps), "heavy": heavy_storage_cost(c, eps),
@@ -208,7 +210,7 @@ def geometric_slope(df: DataFrame, y: str, x: str) -> DataFrame:
     """slope, intercept, r of log y on log x over all rows where both are positive."""
     ly, lx = F.log(F.col(y).cast("double")), F.log(F.col(x).cast("double"))
     d = df.filter((F.col(y) > 0) & (F.col(x) > 0)).select(ly.alias("ly"), lx.alias("lx"))
-    return d.agg(F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"), F.corr("ly", "lx").alias("r"))
+    return d.agg(F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"), correlation("ly", "lx").alias("r"))
 
 
 def geometric_grid(lo: float, hi: float, points: int) -> list[float]:

@@ -13,6 +13,7 @@ from ..functions.scalar import ratio
 
 def diagnostic(c: Closure, exact: bool = True) -> DataFrame:
     """Width against degeneracy for cross triangles."""
+    c = c.persisted()
     copies = c.stats.select("graph", F.col("n_cross").alias("n_copies"))
     return cores.diagnostic(c.edges.select("graph", "u", "v"), c.copy_edges.select("graph", "u", "v"), copies, exact)
 
@@ -38,6 +39,7 @@ def points(c: Closure, kind: str = "path") -> DataFrame:
 
 def evaluate(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0) -> DataFrame:
     """Localization, perfect predictor, shuffled predictor and cheap heuristic per graph."""
+    c = c.persisted()
     pts = points(c)
     nulls = None
     for g in graph_names:
@@ -54,6 +56,7 @@ def evaluate(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0
 
 
 def evaluate_c4(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0) -> DataFrame:
+    c = c.persisted()
     pts = points(c, "c4")
     nulls = None
     for g in graph_names:
@@ -66,6 +69,7 @@ def evaluate_c4(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int
 
 def wedge_report(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0) -> DataFrame:
     """The same question for the wedge estimator; a gain is a ratio of costs, so costs enter as their inverses."""
+    c = c.persisted()
     cost = lambda k, name: scores.wedge_weighted_cost(c, scores.weighting(c, k)).select("graph", (1 / F.col("words")).alias(name))
     pts = cost("uniform", "unif").join(cost("perfect", "perf"), "graph").join(cost("mindeg", "mind"), "graph")
     nulls = None
@@ -105,6 +109,7 @@ def density_rule(report: DataFrame) -> DataFrame:
 
 def simulation(c: Closure, ks: list[int], reps: int = 20, seed: int = 0) -> DataFrame:
     """Bias and error of the estimator run for real, next to the error that its variance predicts."""
+    c = c.persisted()
     out = None
     for name in ("uniform", "perfect"):
         w = scores.weighting(c, name)
@@ -118,6 +123,7 @@ def simulation(c: Closure, ks: list[int], reps: int = 20, seed: int = 0) -> Data
 
 def ranking(c: Closure, ks: list[int], reps: int = 5, seed: int = 0, top: int = 100) -> DataFrame:
     """Precision at ``top`` and rank correlation of simulated vertex scores, mean over repetitions."""
+    c = c.persisted()
     exact = mining.vertex_scores(c)
     out = None
     for k in ks:
@@ -170,6 +176,7 @@ def synthetic(spark: SparkSession, sizes: tuple[int, ...] = (20, 30), n_perm: in
 
 def transfer_summary(c: Closure, blocks=("A", "ABC"), lams=(0.1, 1.0), learner: str = "ridge", **kw) -> DataFrame:
     """block, lam, mean capture over ordered pairs."""
+    c = c.persisted()
     feats = mining.features(c, cores.core_numbers(c.edges.select("graph", "u", "v")))
     pairs = learning.transfer(c, feats, blocks, lams, learner, **kw)
     return pairs.groupBy("block", "lam").agg(F.avg(F.nanvl("capture", F.lit(None).cast("double"))).alias("mean_capture"), F.count(F.lit(1)).alias("pairs"))

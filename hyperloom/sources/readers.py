@@ -74,11 +74,10 @@ def read_hif(spark: SparkSession, path: str, graph: str) -> DataFrame:
     """graph, edge, label from JSON with a list ``incidences`` of {edge, node} or a map ``edge-dict`` from edges to nodes; anything else fails."""
     schema = "incidences array<struct<edge:string,node:string>>, `edge-dict` map<string,array<string>>"
     rows = spark.read.schema(schema).json(path, multiLine=True)
-    rows = rows.withColumn("ok", F.assert_true(F.col("incidences").isNotNull() | F.col("edge-dict").isNotNull(), "neither incidences nor edge-dict"))
-    rows = rows.filter(F.col("ok").isNull())
-    listed = rows.select(F.explode("incidences").alias("i")).select(F.col("i.edge").alias("edge"), F.col("i.node").alias("label"))
-    mapped = rows.filter(F.col("incidences").isNull()).select(F.explode("edge-dict").alias("edge", "nodes")).select("edge", F.explode("nodes").alias("label"))
-    return listed.unionByName(mapped).select(F.lit(graph).alias("graph"), "edge", "label")
+    pair = "array<struct<edge:string,label:string>>"
+    mapped = F.flatten(F.transform(F.map_entries("edge-dict"), lambda e: F.transform(e["value"], lambda n: F.struct(e["key"].alias("edge"), n.alias("label")))))
+    pairs = F.when(F.col("incidences").isNotNull(), F.col("incidences").cast(pair)).when(F.col("edge-dict").isNotNull(), mapped.cast(pair)).otherwise(F.raise_error(F.lit("neither incidences nor edge-dict")).cast(pair))
+    return rows.select(F.explode(pairs).alias("i")).select(F.lit(graph).alias("graph"), "i.edge", "i.label")
 
 
 def entry_url(url: Column, href: Column, link: Column) -> Column:
