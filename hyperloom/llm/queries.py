@@ -47,11 +47,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from ._scratch import scratch_path
-    from .token_files import digests, read_token_files, write_token_files
+    from .token_files import digests, write_token_files
 
     path = scratch_path(spark, "token-files")
     write_token_files(_docs(spark, sf_dir), path, public_tokenizers.path(BPE_FILE), end_id=2)
-    return digests(read_token_files(spark, path))
+    return digests(spark, path)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

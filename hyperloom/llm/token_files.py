@@ -6,8 +6,10 @@ in parallel, and a search for an id skips files, stripes and row groups by their
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,25 +18,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .token_count import ODD_SPACE, PIECE, _text_lists
+from .token_count import ODD_SPACE, PIECE, _text_lists, byte_letters
 
 #: Text bytes of a file, entries of a worker's memory for pieces.
-FILE_BYTES, REMEMBERED = 32 << 20, 400_000
+FILE_BYTES, REMEMBERED = 32 << 20, 250_000
+
+
+#: Characters whose classes no version of Unicode has moved: ASCII without the odd spaces, and the letters up to U+017F.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]+")
+#: The pre-tokenizer's pattern over those characters (a fixed value of byte-level vocabularies of this kind).
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+STANDARD = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 class PieceEncoder:
-    """Token ids as the library gives them.  Pieces that its pre-tokenizer never joins are encoded once and remembered."""
+    """Token ids as the library gives them.  Pieces that its pre-tokenizer never joins are encoded once and remembered.
+
+    Pieces of plain characters fall into words by the pre-tokenizer's pattern, and the library's BPE model encodes each new word; all
+    other pieces, and all pieces of a tokenizer with another pre-tokenizer, go through the library as they are.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(tokenizer_json)
+        own = spec.get("pre_tokenizer") or {}
+        self.plain = spec.get("normalizer") is None and all(own.get(k) == v for k, v in STANDARD.items())
+        self.letters = dict(enumerate(byte_letters()))
+        self.raw = {i: i.to_bytes(4, "little") for i in self.tokenizer.get_vocab().values()}
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.model.tokenize(letters)])
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut, whole, new = [], [], {}
+        cut, whole, new = [], [], set()
+        known, word = self.known, self._word
         for t in texts:
             if ODD_SPACE.search(t) or any(s in t for s in self.specials):
                 cut.append(None)
@@ -42,15 +78,19 @@ class PieceEncoder:
             else:
                 pieces = PIECE.findall(t)
                 cut.append(pieces)
-                new.update(dict.fromkeys(p for p in pieces if p not in self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = dict.fromkeys(p for pieces in cut if pieces for p in pieces)
-        todo = [*new, *whole]
-        ids = [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)] if todo else []
-        self.known.update(zip(new, ids))
-        rest = iter(ids[len(new) :])
-        known = self.known
+                new.update(pieces)
+        fresh = [p for p in new if p not in known]
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = list(new)
+        other = []
+        for p in fresh:
+            if self.plain and PLAIN.fullmatch(p):
+                known[p] = b"".join([word(w) for w in WORD.findall(p)])
+            else:
+                other.append(p)
+        known.update(zip(other, self._whole(other)))
+        rest = iter(self._whole(whole))
         return [next(rest) if pieces is None else b"".join([known[p] for p in pieces]) for pieces in cut]
 
 
@@ -66,7 +106,7 @@ def _encoder(spec: str) -> PieceEncoder:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, id_column: str = "doc_id", text: str = "text") -> None:
-    """Writes id, offset (ids of earlier rows in the same file) and ids per row, in ascending id order over and inside the files.
+    """Writes id, offset (ids of earlier rows in the same file), n_tokens and ids per row, in ascending id order over and inside the files.
 
     A null text counts as empty and has the end id alone; a null id sorts first; rows with one id stay together in one file.
     """
@@ -84,33 +124,39 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows])))
             ids = np.frombuffer(b"".join(rows), "<i4")
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends[:-1] + offset, pa.int64()), lists], [id_column, "offset", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends[:-1] + offset, pa.int64()), pa.array(np.diff(ends), pa.int32()), lists], [id_column, "offset", "n_tokens", "ids"])
             offset += int(ends[-1])
 
     rows = docs.select(F.col(id_column), F.col(text)).repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), F.col(id_column)).sortWithinPartitions(id_column)
-    rows = rows.mapInArrow(run, f"`{id_column}` {key}, offset long, ids array<int>")
+    rows = rows.mapInArrow(run, f"`{id_column}` {key}, offset long, n_tokens int, ids array<int>")
     options = {"orc.bloom.filter.columns": id_column, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
     rows.write.options(**options).orc(path)
 
 
+def file_bases(spark: SparkSession, path: str) -> DataFrame:
+    """file, base: the ids of all files before it.  One row per file, from the columns offset and n_tokens alone."""
+    sizes = spark.read.orc(path).select(F.col("_metadata.file_name").alias("file"), (F.col("offset") + F.col("n_tokens")).alias("end")).groupBy("file").agg(F.max("end").alias("n"))
+    return sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+
+
 def read_token_files(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
-    """id, start (ids of all rows before it), ids.  A file's base is the running sum of the files before it, one row per file."""
+    """id, start (ids of all rows before it), ids."""
     rows = spark.read.orc(path).select("*", F.col("_metadata.file_name").alias("file"))
-    sizes = spark.read.orc(path).select(F.col("_metadata.file_name").alias("file"), (F.col("offset") + F.size("ids")).alias("end")).groupBy("file").agg(F.max("end").alias("n"))
-    bases = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(bases, "file").select(id_column, (F.col("offset") + F.col("base")).alias("start"), "ids")
+    return rows.join(file_bases(spark, path), "file").select(id_column, (F.col("offset") + F.col("base")).alias("start"), "ids")
 
 
-def digests(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id, start, n_tokens, ids_crc32 of the rows of ``read_token_files``."""
+def digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
+    """id, start, n_tokens, ids_crc32 from the files.  Ids are digested where they are read; only the digests meet the files' bases."""
+    rows = spark.read.orc(path).select(id_column, "offset", F.col("_metadata.file_name").alias("file"), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             at = np.asarray(lists.offsets).astype(np.int64) * 4
             raw = np.asarray(lists.values).astype("<i4").tobytes()
             crc = [zlib.crc32(raw[i:j]) for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at) // 4, pa.int64()), pa.array(crc, pa.int64())], [id_column, "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(at) // 4, pa.int64()), pa.array(crc, pa.int64())], [id_column, "offset", "file", "n_tokens", "ids_crc32"])
 
     key = rows.schema[id_column].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_column}` {key}, start long, n_tokens long, ids_crc32 long")
+    out = rows.mapInArrow(run, f"`{id_column}` {key}, offset long, file string, n_tokens long, ids_crc32 long")
+    return out.join(file_bases(spark, path), "file").select(id_column, (F.col("offset") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
