@@ -66,14 +66,22 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-def _over(view: str, build: Callable[[Closure], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: build(tables.closure(spark, sf_dir, view))
+#: Queries that ask their closure several questions, so that its tables are computed once and kept.
+_KEPT = {"profile", "p_succ_uniform", "p_succ_perfect", "p_succ_mindeg", "p_first_edge", "second_moment", "weighted_cost", "localized_cost", "weighted_wedge_cost", "edge_local_cost", "heavy_storage"}
+
+
+def _over(view: str, build: Callable[[Closure], DataFrame], keep: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = tables.closure(spark, sf_dir, view)
+        return build(c.persisted() if keep else c)
+
+    return query
 
 
 def _both(name: str, sql: str, build: Callable[[Closure], DataFrame], view: str = "orders") -> None:
     """A query over a closure, and the SQL after the closure's common tables."""
     prefix = ORDERS if view == "orders" else MINUTES
-    _query(name, prefix.rstrip().rstrip(",") + "\n" + sql if not sql.startswith("+") else prefix + sql[1:])(_over(view, build))
+    _query(name, prefix.rstrip().rstrip(",") + "\n" + sql if not sql.startswith("+") else prefix + sql[1:])(_over(view, build, name in _KEPT))
 
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
