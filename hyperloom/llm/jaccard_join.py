@@ -3,7 +3,7 @@
 Shingles are counted over the whole corpus by ``_exchange``; a document orders its shingles from rare to frequent.  Two similar
 documents share a shingle in their prefixes, so those that appear in one document alone rule most documents out before any join.
 Classes of equal sets are joined once, by a representative.  Since the classes of linked documents are asked for, a first round tests each
-document against one leader per prefix shingle; a second round tests every pair of documents that share a prefix shingle and are not connected
+document against one or two leaders per prefix shingle; a second round tests every pair of documents that share a prefix shingle and are not connected
 yet.  So a group of thousands of near copies costs a test per member, and no link that could connect two components is left out.
 """
 
@@ -22,7 +22,7 @@ from ._text import Words, gram_hash, mix, windows
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
-#: Members of a prefix shingle's group up to which its smallest member leads; larger groups draw a leader per shingle.
+#: Members of a prefix shingle's group up to which its central member alone leads; larger groups draw a second leader per shingle.
 SMALL_GROUP = 16
 
 
@@ -123,7 +123,7 @@ def ordered_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """gram, row, doc_id, n, pos for the shared shingles in each set's prefix."""
+    """gram, row, doc_id, n, rare, pos for the shared shingles in each set's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,9 +137,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                     owner.append(np.full(last - int(rare[i]), i))
             if grams:
                 o = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(row[o]), pa.array(doc[o]), pa.array(n[o]), pa.array(np.concatenate(pos))], ["gram", "row", "doc_id", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(row[o]), pa.array(doc[o]), pa.array(n[o]), pa.array(rare[o]), pa.array(np.concatenate(pos))], ["gram", "row", "doc_id", "n", "rare", "pos"])
 
-    return sets.select("row", "doc_id", "n", "rare", "grams").mapInArrow(run, "gram long, row long, doc_id long, n long, pos long")
+    return sets.select("row", "doc_id", "n", "rare", "grams").mapInArrow(run, "gram long, row long, doc_id long, n long, rare long, pos long")
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -182,11 +182,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     sets = written(able.join(reps, "row", "left_semi"), "sets-of-classes")
     p = prefixes(sets, percent)
     draw = F.xxhash64("gram", "row")
-    groups = p.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "row", "n")).alias("low"), F.min(F.struct(draw.alias("h"), "doc_id", "row", "n")).alias("drawn")).filter("members > 1")
-    lead = F.when(F.col("members") <= SMALL_GROUP, F.struct("low.row", "low.n")).otherwise(F.struct("drawn.row", "drawn.n"))
-    p = written(p.join(groups.select("gram", "members", lead.alias("lead")), "gram"), "prefixes")
+    # the member with the fewest shingles of its own leads: in a group of near copies, what they were copied from
+    lead = lambda *first: F.min(F.struct(*first, "doc_id", "row", "n"))
+    groups = p.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), lead("rare").alias("centre"), lead(draw.alias("h")).alias("drawn")).filter("members > 1")
+    centre, drawn = F.struct("centre.row", "centre.n"), F.struct("drawn.row", "drawn.n")
+    leads = F.when(F.col("members") <= SMALL_GROUP, F.array(centre)).otherwise(F.array(centre, drawn))
+    p = written(p.join(groups.select("gram", "members", leads.alias("leads")), "gram"), "prefixes")
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    stars = p.filter((F.col("row") != F.col("lead.row")) & near(F.col("n"), F.col("lead.n")))
+    stars = p.select("row", "n", F.explode("leads").alias("lead")).filter((F.col("row") != F.col("lead.row")) & near(F.col("n"), F.col("lead.n")))
     stars = written(stars.select(F.least("row", "lead.row").alias("row_a"), F.greatest("row", "lead.row").alias("row_b")).distinct(), "pairs")
     links = written(verified(stars, sets, percent), "links")
     parts = components(links)
