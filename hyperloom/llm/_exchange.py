@@ -15,8 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a chunk and distinct grams of a range; both bound a task's memory.
-CHUNK_BYTES, RANGE_GRAMS = 4 << 20, 3 << 19
+#: Bytes of text in a chunk and distinct grams of a range; both bound a task's memory.  Rows of the exchange number chunks times ranges, so both sizes
+#: grow with the square root of the corpus from FROM_BYTES on, up to MOST times; a task then needs up to that many times the memory (about 2 GB).
+CHUNK_BYTES, RANGE_GRAMS, FROM_BYTES, MOST = 2 << 20, 1 << 20, 8 << 30, 16
 
 
 def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -27,7 +28,8 @@ def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 def plan_sizes(n_bytes: int) -> tuple[int, int]:
     """Chunks and hash ranges for so many bytes; a word and its space take 5 bytes at least, as a rule."""
-    return max(8, math.ceil(n_bytes / CHUNK_BYTES)), max(8, math.ceil(n_bytes / 5 / RANGE_GRAMS))
+    grown = min(MOST, max(1.0, math.sqrt(n_bytes / FROM_BYTES)))
+    return max(8, math.ceil(n_bytes / CHUNK_BYTES / grown)), max(8, math.ceil(n_bytes / 5 / RANGE_GRAMS / grown))
 
 
 def chunk_of(n_chunks: int, doc_id: str = "doc_id", text: str = "text") -> Column:

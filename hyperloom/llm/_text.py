@@ -4,7 +4,7 @@ A word is a maximal run of ``[^\\x20\\x09-\\x0D]``.  Every byte is looked up in
 64-bit numbers, multiplied by a power of an odd base and summed up; the difference of two prefix
 sums, shifted back by the inverse power, is the hash of any slice.  One pass of a few array
 operations therefore hashes all words of a batch, and the same trick over word hashes gives all
-k-word windows.  Work is cut into slabs of about a megabyte at word boundaries, so that memory stays
+k-word windows.  Work is cut into slabs of a quarter of a megabyte at word boundaries, so that memory stays
 bounded however long a single text is.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_SLAB = 1 << 20
+_SLAB = 1 << 18
 _BASE, _GRAM_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
 
