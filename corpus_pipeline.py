@@ -8,13 +8,13 @@ from hyperloom.llm._scratch import scratch_path
 from hyperloom.llm.jaccard_join import one_per_component
 from hyperloom.llm.mixing import mixed_documents
 from hyperloom.llm.packing import pack_documents
-from hyperloom.llm.quality import quality_rules
+from hyperloom.llm.quality import kept_documents
 from hyperloom.llm.substring import deduplicated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a threshold rejects go."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
