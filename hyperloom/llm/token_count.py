@@ -22,8 +22,16 @@ from pyspark.sql import functions as F
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Python takes these for white space, the tokenizer does not; texts that hold one are not cut into pieces.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters whose classes no version of Unicode has moved: ASCII without the odd spaces, and the letters up to U+017F.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]+")
+#: The pre-tokenizer's pattern over those characters (a fixed value of byte-level vocabularies of this kind).
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+STANDARD = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Entries of a worker's memory for pieces and for pairs; it is emptied when full, which changes no result.
 REMEMBERED = 400_000
+#: Letters of the longest words whose prefixes are remembered.
+SHARED = 48
 _inf = math.inf
 
 
@@ -55,9 +63,12 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split = Tokenizer.from_str(tokenizer_json).pre_tokenizer.pre_tokenize_str
-        self.letters = byte_letters()
+        own = spec.get("pre_tokenizer") or {}
+        self.plain = all(own.get(k) == v for k, v in STANDARD.items())
+        self.letters = dict(enumerate(byte_letters()))
         self.sides: dict[str, tuple[list, list]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.prefixes: dict[str, tuple[int, str]] = {"": (0, "")}
         self.pieces: dict[str, int] = {}
         self.words: dict[str, int] = {}
 
@@ -106,14 +117,24 @@ class PrefixCounter:
         self.pairs[key] = ok
         return ok
 
-    def word_counts(self, word: str) -> list[int]:
-        """Token counts of all prefixes of a pre-token, which is given in the vocabulary's letters; entry i is for i bytes."""
+    def _extend(self, word: str) -> tuple[int, str]:
+        """(count, last token) of a word whose shorter prefixes are remembered."""
+        n, prefixes, vocab = len(word), self.prefixes, self.vocab
+        for k in range(max(0, n - self.longest), n):
+            t = word[k:]
+            if t in vocab:
+                count, last = prefixes[word[:k]]
+                if k == 0 or self.may_follow(last, t):
+                    return count + 1, t
+        raise ValueError("the vocabulary lacks a byte")
+
+    def _long(self, word: str) -> list[int]:
+        """The same table for a word too long to remember its prefixes."""
         counts, last = [0], [""]
-        vocab, longest, may_follow = self.vocab, self.longest, self.may_follow
         for i in range(1, len(word) + 1):
-            for k in range(max(0, i - longest), i):
+            for k in range(max(0, i - self.longest), i):
                 t = word[k:i]
-                if t in vocab and (k == 0 or may_follow(last[k], t)):
+                if t in self.vocab and (k == 0 or self.may_follow(last[k], t)):
                     counts.append(counts[k] + 1)
                     last.append(t)
                     break
@@ -121,6 +142,26 @@ class PrefixCounter:
                 raise ValueError("the vocabulary lacks a byte")
         return counts
 
+    def word_counts(self, word: str) -> list[int]:
+        """Token counts of all prefixes of a pre-token, which is given in the vocabulary's letters; entry i is for i bytes.
+
+        Prefixes of words of common length are remembered, so words that begin alike share the beginning's table.
+        """
+        if len(word) > SHARED:
+            return self._long(word)
+        prefixes = self.prefixes
+        if len(prefixes) >= REMEMBERED:
+            prefixes.clear()
+            prefixes[""] = (0, "")
+        counts = [0]
+        for i in range(1, len(word) + 1):
+            p = word[:i]
+            have = prefixes.get(p)
+            if have is None:
+                have = prefixes[p] = self._extend(p)
+            counts.append(have[0])
+        return counts
+
     def _word(self, word: str) -> int:
         n = self.words.get(word)
         if n is None:
@@ -134,6 +175,8 @@ class PrefixCounter:
         return n
 
     def _plain(self, text: str) -> int:
+        if self.plain and PLAIN.fullmatch(text):
+            return sum([self._word(w.encode().decode("latin-1").translate(self.letters)) for w in WORD.findall(text)])
         return sum(self._word(w) for w, _ in self.split(text)) if text else 0
 
     def count(self, text: str) -> int:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,20 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .token_count import ODD_SPACE, PIECE, _text_lists, byte_letters
+from .token_count import ODD_SPACE, PIECE, PLAIN, STANDARD, WORD, _text_lists, byte_letters
 
 #: Text bytes of a file, entries of a worker's memory for pieces.
 FILE_BYTES, REMEMBERED = 32 << 20, 250_000
 
 
-#: Characters whose classes no version of Unicode has moved: ASCII without the odd spaces, and the letters up to U+017F.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]+")
-#: The pre-tokenizer's pattern over those characters (a fixed value of byte-level vocabularies of this kind).
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
-STANDARD = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-
-
 class PieceEncoder:
     """Token ids as the library gives them.  Pieces that its pre-tokenizer never joins are encoded once and remembered.
 
