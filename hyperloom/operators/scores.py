@@ -192,15 +192,15 @@ def split_report(points: DataFrame, nulls: DataFrame, base: str) -> DataFrame:
     """The gain of a predictor against its permutation null: ``points`` has graph, unif, perf, mind and first; ``nulls`` graph and perm, a row per shuffle.
 
     Columns: perfect_over_<base>, permuted mean and 2.5 and 97.5 percentiles, mindeg, structural share (of the gain that the shuffles do not
-    reproduce; NaN if there is no gain) and the one-sided p-value.
+    reproduce; NaN if there is no gain) and the one-sided p-value.  Ratios are null where there is nothing to find.
     """
-    n = nulls.join(points, "graph").withColumn("s_perm", F.col("perm") / F.col("unif")).withColumn("s_perf", F.col("perf") / F.col("unif"))
+    n = nulls.join(points, "graph").withColumn("s_perm", F.try_divide("perm", "unif")).withColumn("s_perf", F.try_divide("perf", "unif"))
     gain = F.col("s_perf") - 1
     n = n.withColumn("share", F.when(F.abs(gain) > 1e-12, (F.col("s_perf") - F.col("s_perm")) / gain).otherwise(nan()))
     q = lambda x, p: F.percentile(x, F.lit(p))
     return n.groupBy("graph").agg(
         F.first("s_perf").alias(f"perfect_over_{base}"), F.avg("s_perm").alias(f"permuted_over_{base}_mean"), q("s_perm", 0.025).alias(f"permuted_over_{base}_lo"),
-        q("s_perm", 0.975).alias(f"permuted_over_{base}_hi"), F.first(F.col("mind") / F.col("unif")).alias(f"mindeg_over_{base}"), F.avg("share").alias("structural_share"),
+        q("s_perm", 0.975).alias(f"permuted_over_{base}_hi"), F.first(F.try_divide("mind", "unif")).alias(f"mindeg_over_{base}"), F.avg("share").alias("structural_share"),
         q("share", 0.025).alias("structural_share_lo"), q("share", 0.975).alias("structural_share_hi"),
         ((F.sum((F.col("s_perm") >= F.col("s_perf")).cast("long")) + 1) / (F.count(F.lit(1)) + 1)).alias("perm_pvalue"), F.count(F.lit(1)).alias("n_perm"),
     )

@@ -64,17 +64,17 @@ def evaluate_c4(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int
         nulls = n if nulls is None else nulls.unionByName(n)
     n_cross = c.c4.groupBy("graph").agg(F.count(F.lit(1)).alias("n_cross"))
     split = scores.split_report(pts, nulls, "unif").join(n_cross, "graph").join(c.c4_guard(), "graph")
-    return split.join(pts.select("graph", (F.col("first") / F.col("unif")).alias("firstedge_over_unif")), "graph")
+    return split.join(pts.select("graph", F.try_divide("first", "unif").alias("firstedge_over_unif")), "graph")
 
 
 def wedge_report(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0) -> DataFrame:
     """The same question for the wedge estimator; a gain is a ratio of costs, so costs enter as their inverses."""
     c = c.persisted()
-    cost = lambda k, name: scores.wedge_weighted_cost(c, scores.weighting(c, k)).select("graph", (1 / F.col("words")).alias(name))
+    cost = lambda k, name: scores.wedge_weighted_cost(c, scores.weighting(c, k)).select("graph", F.try_divide(F.lit(1.0), "words").alias(name))
     pts = cost("uniform", "unif").join(cost("perfect", "perf"), "graph").join(cost("mindeg", "mind"), "graph")
     nulls = None
     for g in graph_names:
-        n = sampling.permutation_null(c, g, n_perm, seed, "wedge").withColumn("perm", 1 / F.col("perm"))
+        n = sampling.permutation_null(c, g, n_perm, seed, "wedge").withColumn("perm", F.try_divide(F.lit(1.0), "perm"))
         nulls = n if nulls is None else nulls.unionByName(n)
     return scores.split_report(pts, nulls, "unif")
 
@@ -116,7 +116,7 @@ def simulation(c: Closure, ks: list[int], reps: int = 20, seed: int = 0) -> Data
         var = scores.weighted_cost(c, w).select("graph", "var").join(c.stats.select("graph", "n_cross"), "graph")
         for k in ks:
             e = sampling.errors(sampling.simulate_estimator(c, w, k, reps, seed), c.stats)
-            row = e.join(var, "graph").select("graph", F.lit(name).alias("weights"), F.lit(k).alias("k"), "bias", "rmse", (F.sqrt(F.col("var") / k) / F.col("n_cross")).alias("predicted"))
+            row = e.join(var, "graph").select("graph", F.lit(name).alias("weights"), F.lit(k).alias("k"), "bias", "rmse", F.try_divide(F.sqrt(F.col("var") / k), "n_cross").alias("predicted"))
             out = row if out is None else out.unionByName(row)
     return out
 
