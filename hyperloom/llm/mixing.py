@@ -3,6 +3,8 @@
 Points of the golden-ratio sequence fall into the sources' shares of the unit interval, so that every stretch of the
 schedule holds each source in its proportion.  The k-th slot of a source takes the k-th block of its documents, which lie
 end to end in shuffled order and are cut into blocks of equal length; after the last block a second cycle begins.
+Each source has as many slots as its target needs: slots that the sequence gives beyond them are left out, missing ones follow
+at the schedule's end, and the last block is cut, so every source is taken to the word of its target.
 Everything is DataFrame expressions; only word counts, never texts, are shuffled.
 """
 
@@ -27,14 +29,14 @@ CELLS = 4096
 class MixPlan:
     """Weights of the sources in code point order, repeating; share of all words to take; most cycles; size of a block.
 
-    A block has ``least_block`` words, or more where ``most_slots`` of them would not reach.
+    A block has ``least_block`` words.  ``most_slots``, if given, bounds the schedule by longer blocks; what is taken stays the same.
     """
 
     weights: tuple[int, ...] = (3, 1, 2)
     share: float = 1.5
     cycles: int = 2
     least_block: int = 32
-    most_slots: int = 4_000_000
+    most_slots: int | None = None
     seed: int = 17
 
 
@@ -43,7 +45,8 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, plan: MixPlan) -> DataFrame:
-    """sid, source, source_size, target, from, to (the source's share of the unit), block (words of a block) per source.
+    """sid, source, source_size, target, from, to (the source's share of the unit), block (words of a block), words (the target as a whole
+    number), slots (blocks that hold them) per source.
 
     ``sizes`` has source and size.  A source gets its weight's share, at most ``cycles`` times its size; what that leaves over goes to
     the others by weight, until none is above.  Sorted by size over weight the capped sources come first, so running sums tell all.
@@ -60,31 +63,50 @@ def targets(sizes: DataFrame, plan: MixPlan) -> DataFrame:
     capped = F.col("cap") <= F.col("w") * F.col("level")
     per = per.withColumn("final", F.max(F.when(~capped, F.col("level"))).over(every))
     per = per.withColumn("target", F.when(capped, F.col("cap")).otherwise(F.col("w") * F.col("final")))
+    longer = F.ceil(F.col("budget") / plan.most_slots) if plan.most_slots else F.lit(0)
+    per = per.withColumn("block", F.greatest(F.lit(plan.least_block), longer).cast("long"))
+    # whole cycles, and the blocks of the last one; a source without words has none
+    size = F.greatest("source_size", F.lit(1))
+    per = per.withColumn("words", F.round("target").cast("long"))
+    whole, rest = F.floor(F.col("words") / size), F.col("words") % size
+    per = per.withColumn("slots", (whole * F.ceil(size / F.col("block")) + F.ceil(rest / F.col("block"))).cast("long"))
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("target").over(every)
-    edge = F.when(total > 0, F.round(F.sum("target").over(upto) / total * UNIT)).otherwise(0).cast("long")
+    total = F.sum("slots").over(every)
+    edge = F.when(total > 0, F.round(F.sum("slots").over(upto) / total * UNIT)).otherwise(0).cast("long")
     per = per.withColumn("to", edge).withColumn("from", F.coalesce(F.lag("to").over(Window.orderBy("sid")), F.lit(0)))
-    per = per.withColumn("block", F.greatest(F.lit(plan.least_block), F.ceil(F.col("budget") / plan.most_slots)).cast("long"))
-    return per.select("sid", "source", "source_size", "target", "from", "to", "block")
+    return per.select("sid", "source", "source_size", "target", "from", "to", "block", "words", "slots")
+
+
+def golden(n: Column) -> Column:
+    """n times GOLDEN modulo UNIT, by halves of 20 bits, since the product itself leaves the longs above 13 M."""
+    low, high = n % (1 << 20), F.floor(n / (1 << 20))
+    return (low * F.lit(GOLDEN) + (high * F.lit(GOLDEN)) % (1 << 20) * (1 << 20)) % F.lit(UNIT)
 
 
 def schedule(spark, sources: DataFrame, plan: MixPlan) -> DataFrame:
-    """One row per slot of the mix: slot, sid, cycle, block_no.  The k-th slot of a source takes its block k, over and over."""
-    row = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("all"), F.max("block").alias("block")).first()
-    n = int(-(-row["all"] // row["block"])) if row["block"] else 0
+    """One row per slot of the mix: slot, sid, cycle, block_no, stop (the word of the source before which the slot's block ends).
+    The k-th slot of a source takes its block k, over and over, until the source's words are reached."""
+    n = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("all")).first()["all"]
     width = UNIT // CELLS
-    slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(UNIT)).alias("u"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), golden(F.col("id")).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") / width))
-    shares = sources.filter("to > from").select("sid", "from", "to", "source_size", "block", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))).alias("cell"))
-    slots = slots.join(shares, "cell").filter("u >= from and u < to").withColumn("part", F.shiftright("slot", 12))
+    shares = sources.filter("to > from").select("sid", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))).alias("cell"))
+    slots = slots.join(shares, "cell").filter("u >= from and u < to").select("slot", "sid", F.shiftright("slot", 12).alias("part"))
     # a slot's rank in its source: what earlier parts of the schedule hold, and the place inside its part
-    counts = slots.groupBy("sid", "part").count()
+    counts = written(slots.groupBy("sid", "part").count(), "mix-counts")
     bases = counts.select("sid", "part", F.coalesce(F.sum("count").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1
-    ranked = slots.withColumn("inside", inside).join(bases, ["sid", "part"]).withColumn("rank", F.col("inside") + F.col("base"))
+    ranked = slots.withColumn("inside", inside).join(bases, ["sid", "part"]).select("slot", "sid", (F.col("inside") + F.col("base")).alias("rank"))
+    # the sequence is a few slots off a source's number; what is missing comes at the end
+    few = sources.join(counts.groupBy("sid").agg(F.sum("count").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < slots")
+    before = F.coalesce(F.sum(F.col("slots") - F.col("got")).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumn("before", before).select("sid", "got", "before", F.explode(F.sequence("got", F.col("slots") - 1)).alias("rank"))
+    ranked = ranked.unionByName(few.select((F.col("before") + F.col("rank") - F.col("got") + n).alias("slot"), "sid", "rank"))
+    ranked = ranked.join(sources.select("sid", "source_size", "block", "words", "slots"), "sid").filter("rank < slots")
     blocks = F.ceil(F.col("source_size") / F.col("block"))
     ranked = ranked.withColumn("cycle", F.floor(F.col("rank") / blocks)).withColumn("block_no", F.col("rank") % blocks)
-    return ranked.filter(F.col("cycle") < plan.cycles).select("slot", "sid", "cycle", "block_no")
+    stop = F.least((F.col("block_no") + 1) * F.col("block"), "source_size", F.col("words") - F.col("cycle") * F.col("source_size"))
+    return ranked.select("slot", "sid", "cycle", "block_no", stop.alias("stop"))
 
 
 def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("doc_id",), source: str = "source", text: str = "text") -> DataFrame:
@@ -101,14 +123,14 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("do
     sized = written(sized, "mix-sizes")
     sources = written(targets(sized, plan), "mix-targets")
     order = F.xxhash64(F.lit(plan.seed), *names, "source", "size")
-    rows = sized.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "from", "to")
+    rows = sized.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "from", "to", "words", "slots")
     rows = running_sum(rows, ["sid"], order, F.col("size"), "at", sized.count())
     rows = written(rows, "mix-rows")
     full = rows.filter("size > 0")
     pieces = full.select("sid", "at", "size", "block", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))).alias("block_no"))
     first = F.greatest(F.col("block_no") * F.col("block") - F.col("at"), F.lit(0))
-    last = F.least((F.col("block_no") + 1) * F.col("block") - F.col("at"), F.col("size"))
-    taken = pieces.join(schedule(spark, sources, plan), ["sid", "block_no"]).select("sid", "at", "cycle", first.alias("first"), last.alias("last"))
+    last = F.least(F.col("stop") - F.col("at"), F.col("size"))
+    taken = pieces.join(schedule(spark, sources, plan), ["sid", "block_no"]).select("sid", "at", "cycle", first.alias("first"), last.alias("last")).filter("first < last")
     # blocks of one cycle are taken from the source's start on, so a row's pieces of a cycle adjoin
     spans = taken.groupBy("sid", "at", "cycle").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("last") - F.col("first")).alias("words"))
     spans = spans.groupBy("sid", "at").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("cycle", "first", "last"))).alias("spans"))

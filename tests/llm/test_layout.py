@@ -65,6 +65,28 @@ def test_schedule_is_even(spark, sources):
             assert abs(k - share[sid] * n) <= 6  # low discrepancy, at every stretch
 
 
+def test_mix_reaches_every_target(spark):
+    r = random.Random(5)
+    rows = [(i, "w " * r.randint(1, 90), "hot") for i in range(900)] + [(2000 + i, "w " * (1 + i % 40), f"s{i % 60:02}") for i in range(150)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, source string"), "docs")
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    want = brute_targets(size)
+    for plan in (mixing.MixPlan(most_slots=20), mixing.MixPlan(), mixing.MixPlan(least_block=7)):
+        got = mixing.mix(docs, plan).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+        assert len(got) == len(size) and all(abs(q.n - want[q.source]) <= 0.5 + 1e-6 for q in got)
+
+
+def test_blocks_do_not_grow_with_the_corpus(spark):
+    sizes = spark.createDataFrame([("big", 5_000_000_000), ("small", 200)], "source string, size long")
+    t = {q.source: q for q in mixing.targets(sizes, mixing.MixPlan()).collect()}
+    assert {q.block for q in t.values()} == {32} and t["small"].slots == 2 * 7 and t["small"].words == 400
+    ids = [0, 1, 4_000_000, 13_600_000, 234_375_017, 2**40 + 3]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing.golden(F.col("id")).alias("u")).collect()
+    assert all(q.u == q.id * mixing.GOLDEN % mixing.UNIT for q in got)
+
+
 def test_mixed_texts(sources):
     rows, docs = sources
     words = sum(len((t or "").split()) for _, t, _ in rows)
