@@ -2,9 +2,10 @@
 
 Shingles are counted over the whole corpus by ``_exchange``; a document orders its shingles from rare to frequent.  Two similar
 documents share a shingle in their prefixes, so those that appear in one document alone rule most documents out before any join.
-Classes of equal sets are joined once, by a representative.  Since the classes of linked documents are asked for, a first round tests each
-document against one or two leaders per prefix shingle; a second round tests every pair of documents that share a prefix shingle and are not connected
-yet.  So a group of thousands of near copies costs a test per member, and no link that could connect two components is left out.
+Classes of equal sets are joined once, by a representative.  Components come first: a first round tests each document against one or two
+leaders per prefix shingle; a second round tests every pair of documents that share a prefix shingle and are not connected yet.  Two linked
+documents are in one component, so all links follow by testing all pairs inside each component, in blocks of members that
+meet block by block.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Members of a prefix shingle's group up to which its central member alone leads; larger groups draw a second leader per shingle.
 SMALL_GROUP = 16
+#: Members of a block, in which the pairs of a component are tested, and columns of the blocks' products taken at once.
+BLOCK, COLUMNS = 128, 4096
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,13 +170,101 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "row_a").join(y, "row_b").select("a", "x", "b", "y").mapInArrow(run, "a long, b long")
 
 
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of ``sets`` shares with each of ``others``; the hashes of a set are distinct."""
+    out = np.zeros((len(sets), len(others)), np.int64)
+    g, code = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets) + len(others)), [len(x) for x in (*sets, *others)])
+    left = owner < len(sets)
+    both = np.zeros(len(g), bool)
+    both[code[left]] = True
+    right = np.zeros(len(g), bool)
+    right[code[~left]] = True
+    both &= right
+    here = both[code]
+    column, owner, left = (np.cumsum(both) - 1)[code[here]], owner[here], left[here]
+    by_column = np.argsort(column, kind="stable")
+    column, owner, left = column[by_column], owner[by_column], left[by_column]
+    for at in range(0, int(both.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        c, o, x = column[a:b] - at, owner[a:b], left[a:b]
+        m, n = np.zeros((len(sets), COLUMNS), np.float32), np.zeros((len(others), COLUMNS), np.float32)
+        m[o[x], c[x]] = 1
+        n[o[~x] - len(sets), c[~x]] = 1
+        out += (m @ n.T).astype(np.int64)
+    return out
+
+
+def links_inside(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """row, n_links, others: every link between the representatives ``sets`` (row, grams) of a component.
+
+    ``members``: row, component, rows (in the class) for each representative in a component.  A link stands in ``others`` of one of its ends and in
+    ``n_links``, in rows of the linked class, of both; a representative may have several rows of this table.  Components of more than
+    ``BLOCK`` members are dealt over blocks, a group for each pair of blocks; smaller ones share groups.
+    """
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    m = members.join(size, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    large = F.col("blocks") > 1
+    total = size.agg(F.coalesce(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.lit(0)).alias("n")).first()["n"]
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    m = m.withColumn("own", F.when(large, own).otherwise(-1)).withColumn("g", F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(total // BLOCK + 1))))
+    m = m.withColumn("other", F.explode(F.when(large, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))))
+    m = m.select("row", "component", "rows", "own", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(key, table):
+        row, comp, rows, own, j = (np.asarray(table[c]) for c in ("row", "component", "rows", "own", "j"))
+        grams = [np.frombuffer(x.as_py(), "<u8") for x in table["grams"]]
+        n = np.array([len(x) for x in grams], np.int64)
+        count, others = np.zeros(len(row), np.int64), [[] for _ in row]
+        by_comp = np.argsort(comp, kind="stable")
+        for part in np.split(by_comp, np.flatnonzero(np.diff(comp[by_comp])) + 1):
+            second = own[part] == j[part]
+            a, b = (part[~second], part[second]) if not second.all() else (part, part)
+            if not len(a) or not len(b):
+                continue
+            shared = overlaps([grams[i] for i in a], [grams[i] for i in b])
+            linked = (100 + percent) * shared >= percent * (n[a][:, None] + n[b][None, :])
+            if a is b:
+                linked = np.triu(linked, 1)
+            for x, y in zip(*np.nonzero(linked)):
+                others[a[x]].append(int(row[b[y]]))
+            count[a] += linked @ rows[b]
+            count[b] += linked.T @ rows[a]
+        return pa.table({"row": pa.array(row, pa.int64()), "n_links": pa.array(count, pa.int64()), "others": pa.array(others, pa.list_(pa.int64()))})
+
+    rows = m.join(sets.select("row", "grams"), "row")
+    return written(rows.groupBy("g", "i", "j").applyInArrow(run, "row long, n_links long, others array<long>"), "links-inside")
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, links).  rows: doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text).  links: verified pairs (a, b) between representatives of
-    classes of equal sets; with the classes they connect all that is similar.
+    """(rows, links).  rows: doc_id, n_shingles, component_id, n_links (other rows with a doc_id and a similar set) per row of ``docs`` (doc_id, text).
+    links: every pair (a, b) of different doc_ids, a the smaller, with similar sets.
 
     Words are taken after A-Z are made small.  A null or empty text has no shingle and links with nothing; rows with one doc_id are one node;
     a row without doc_id links with nothing and has a null component.  An empty table gives empty results.
     """
+    every, able, classes, sets, parts = _connected(docs, k, percent)
+    same = ["n", "d1", "d2"]
+    reps = classes.select(*same, F.col("rep.row").alias("row"), F.col("rep.doc_id").alias("node"), F.col("members").alias("rows"))
+    inside = links_inside(sets, reps.join(parts, "node").select("row", "component", "rows"), percent)
+    more = inside.groupBy("row").agg(F.sum("n_links").alias("more"))
+    member = reps.join(more, "row", "left").join(parts, "node", "left").select(*same, F.coalesce("component", "node").alias("component"), (F.coalesce("more", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    rows = every.drop("grams", "rare").join(member, same, "left").select("doc_id", F.col("n").alias("n_shingles"), _component().alias("component_id"), n_links.alias("n_links"))
+    ids = able.select(*same, "doc_id").distinct().join(reps.select(*same, "row"), same).select("row", "doc_id")
+    one, two = ids.toDF("row_a", "x"), ids.toDF("row_b", "y")
+    pairs = inside.select(F.col("row").alias("row_a"), F.explode("others").alias("row_b")).unionByName(reps.filter("rows > 1").select(F.col("row").alias("row_a"), F.col("row").alias("row_b")))
+    links = pairs.join(one, "row_a").join(two, "row_b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rows, links
+
+
+def _component():
+    return F.when(F.col("doc_id").isNotNull(), F.coalesce(F.least("component", "doc_id"), "doc_id"))
+
+
+def _connected(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
+    """All sets, those that can have links, classes of equal sets, the sets of their representatives, and node, component of the doc_ids
+    of linked representatives."""
     every = ordered_sets(docs, k, percent)
     able = every.filter(F.col("grams").isNotNull())
     # one representative per class of equal sets, the one with the smallest doc_id
@@ -204,15 +295,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     more = one.join(two, "gram").filter((F.col("row_a") < F.col("row_b")) & (F.col("c_a") != F.col("c_b")) & near(F.col("n_a"), F.col("n_b")) & (left >= need))
     more = more.select("row_a", "row_b").distinct().join(stars, ["row_a", "row_b"], "left_anti")
     new_links = written(verified(written(more, "pairs"), sets, percent), "links")
-    links = links.unionByName(new_links)
     parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new_links))
-    member = classes.select("n", "d1", "d2", F.col("rep.doc_id").alias("rep")).join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    rows = every.drop("grams", "rare").join(member, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.least("component", "doc_id"), "doc_id")).alias("component_id"))
-    return rows, links
+    return every, able, classes, sets, parts
 
 
 def one_per_component(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id; rows without doc_id stay."""
-    rows, _ = jaccard_components(docs.select("doc_id", "text"), k, percent)
-    out = rows.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    every, _, classes, _, parts = _connected(docs.select("doc_id", "text"), k, percent)
+    member = classes.select("n", "d1", "d2", F.col("rep.doc_id").alias("node")).join(parts, "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component"))
+    rows = every.select("n", "d1", "d2", "doc_id").join(member, ["n", "d1", "d2"], "left")
+    out = rows.filter(F.col("doc_id") != _component()).select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti")

@@ -83,7 +83,7 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
-    return jaccard_components(_docs(spark, sf_dir).select("doc_id", "text"))[0]
+    return jaccard_components(_docs(spark, sf_dir).select("doc_id", "text"))[0].select("doc_id", "n_shingles", "component_id")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,26 @@ def test_jaccard_odd_ids(spark):
     assert jaccard_join.jaccard_components(docs.limit(0))[0].count() == 0
 
 
+def test_jaccard_gives_every_link(spark, corpus, monkeypatch):
+    sets = {i: shingles(t) for i, t in corpus}
+    ids = sorted(sets)
+    links = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    for block in (128, 7):  # the near copies in one block, and in many
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        rows, found = jaccard_join.jaccard_components(docs)
+        assert sorted((r.a, r.b) for r in found.collect()) == sorted(links)
+        assert {r.doc_id: r.n_links for r in rows.collect()} == {i: sum(i in p for p in links) for i in ids}
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 8)
+    r = np.random.default_rng(2)
+    pool = r.integers(0, 2**63, 90).astype(np.uint64) * np.uint64(2)
+    a, b = ([r.choice(pool, r.integers(1, 70), replace=False) for _ in range(m)] for m in (9, 5))
+    assert jaccard_join.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_suffix_bound_holds():
     r = np.random.default_rng(1)
     for _ in range(50):
