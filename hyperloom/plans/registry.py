@@ -273,7 +273,7 @@ def object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("window_sweep")
 def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cores.window_sweep(tables.user_days(spark, sf_dir), [2592000], starts=2, min_m=10)
+    return cores.window_sweep(tables.user_days(spark, sf_dir), cores.WINDOWS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.operators import cores, graphs
 from hyperloom.operators.hypergraph import Closure
-from hyperloom.plans import reports
+from hyperloom.plans import registry, reports
 from hyperloom.sources import generators
 
 
@@ -110,3 +110,11 @@ def test_relabel_orders(spark):
     assert sorted((r.u, r.v) for r in graphs.canonical(out).collect()) == [(0, 1), (1, 2)]
     ids = graphs.label_ids(spark.createDataFrame([("g", x) for x in "zab"], "graph string, label string"))
     assert {r.label: r.v for r in ids.collect()} == {"a": 0, "b": 1, "z": 2}
+
+
+def test_registered_window_sweep_is_whole(spark, monkeypatch):
+    day = spark.range(400 * 310).select(F.lit("g").alias("graph"), (F.floor(F.col("id") / 310) * 86400).alias("ts"), (F.col("id") * 2).alias("u"), (F.col("id") * 2 + 1).alias("v"))
+    monkeypatch.setattr(registry.tables, "user_days", lambda spark, sf_dir: day)
+    monkeypatch.setattr(cores, "diagnose", lambda e: e.groupBy("graph").agg(F.count(F.lit(1)).alias("m")))
+    days = [r.window_days for r in registry.QUERIES["window_sweep"](spark, "").collect()]
+    assert {d: days.count(d) for d in days} == {1.0: 6, 3.0: 6, 7.0: 6, 30.0: 6, 90.0: 6, 365.0: 6, 399.0: 1}
