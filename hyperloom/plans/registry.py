@@ -263,12 +263,12 @@ def ridge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("hard_instances")
 def hard_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.hard_instances(spark)
+    return reports.hard_instances(spark, small=False)
 
 
 @_query("object_scan")
 def object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.object_scan(spark)
+    return reports.object_scan(spark, (7, 11, 13, 17, 19))
 
 
 @_query("window_sweep")

@@ -118,3 +118,13 @@ def test_registered_window_sweep_is_whole(spark, monkeypatch):
     monkeypatch.setattr(cores, "diagnose", lambda e: e.groupBy("graph").agg(F.count(F.lit(1)).alias("m")))
     days = [r.window_days for r in registry.QUERIES["window_sweep"](spark, "").collect()]
     assert {d: days.count(d) for d in days} == {1.0: 6, 3.0: 6, 7.0: 6, 30.0: 6, 90.0: 6, 365.0: 6, 399.0: 1}
+
+
+def test_registered_instances_are_whole(spark, monkeypatch):
+    graphs_of = lambda e, *a: e.select("graph").distinct()
+    monkeypatch.setattr(cores, "instance_report", graphs_of)
+    monkeypatch.setattr(cores, "diagnose", graphs_of)
+    hard = {r.graph for r in registry.QUERIES["hard_instances"](spark, "").collect()}
+    assert len(hard) == 12 and "friendship_1024" in hard and {g.split("_")[1] for g in hard if g.startswith("disjointness")} == {"6", "9", "12", "16", "20"}
+    scan = {r.graph for r in registry.QUERIES["object_scan"](spark, "").collect()}
+    assert len(scan) == 10 and {g.split("_")[1] for g in scan} == {"7", "11", "13", "17", "19"}
