@@ -33,3 +33,15 @@ def running_sum(df: DataFrame, keys: list[str], order: Column, amount: Column, o
     for k, n in zip(keys, names):
         same = same & F.col(k).eqNullSafe(F.col(n))
     return rows.join(bases, same, "left").withColumn(out, F.col("_in") + F.col("_base")).drop("_o", "_a", "_b", "_tb", "_base", "_in", *names)
+
+
+def told_apart(df: DataFrame, order: str, row: str, n_rows: int) -> DataFrame:
+    """``order``, a long hash of a row's content, made different for rows that share it: the hash of it and of a number among them.
+
+    Such rows are equal, so it does not matter which gets which number; the numbers are 0, 1, 2... whatever the partitions, so reruns agree.
+    ``row`` is a long that no two rows share; by it equal rows are spread over buckets to be numbered.
+    """
+    if not df.groupBy(order).count().filter("count > 1").limit(1).count():
+        return df
+    numbered = running_sum(df, [order], F.xxhash64(row), F.lit(1), "_nth", n_rows)
+    return numbered.withColumn(order, F.when(F.col("_nth") > 0, F.xxhash64(order, "_nth")).otherwise(F.col(order))).drop("_nth")

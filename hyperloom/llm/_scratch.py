@@ -4,24 +4,62 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes an execution's shuffle files at its end; what is written here is executed once, so nothing asks for them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[Scope] = []
+
+
+class Scope:
+    """The tables written while it is open."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def remove(self) -> None:
+        """Deletes the tables, and lets Spark delete the shuffle files of frames that nobody holds any more."""
+        for spark, path in self.paths:
+            _remove(spark, path)
+        if self.paths:
+            gc.collect()
+            with contextlib.suppress(Exception):  # the session may have ended before
+                self.paths[-1][0].sparkContext._jvm.System.gc()
+        self.paths.clear()
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    s = Scope()
+    _open.append(s)
+    try:
+        yield s
+    finally:
+        _open.remove(s)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``.  On a cluster it must be set; where all of Spark is one local process, a temporary folder serves."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="hyperloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what stands there is removed when the driver's Python ends."""
+    """A new path in the shared folder; what stands there is removed with the open scopes, or when the driver's Python ends."""
     path = f"{shared_folder(spark)}/hyperloom/{name}-{uuid.uuid4().hex[:12]}"
+    for s in _open:
+        s.paths.append((spark, path))
     atexit.register(_remove, spark, path)
     return path
 
@@ -37,5 +75,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: computed once, and no executor's loss undoes it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave and that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            _remove(t.sparkSession, path)

@@ -1,8 +1,9 @@
 """Packing into length buckets whose bounds a dynamic program chooses over the global histogram of lengths.
 
 A row is padded to the upper bound of its bucket.  The program minimises the padding over all rows for a given number of buckets;
-the histogram has a bounded number of bins, so it is all that the driver sees.  Inside a bucket, rows in the order of a
-hash fill batches of a token budget.
+the histogram has a bounded number of bins, so it is all that the driver sees.  Bins up to ``EXACT_LENGTHS`` tokens are single lengths; a longer
+bin counts as its longest row, so a bound is always the length of a row, and is at most 1/256 off the best one.  Inside a bucket, rows in the
+order of a hash fill batches of a token budget.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._rank import running_sum
+from ._rank import running_sum, told_apart
 from ._scratch import written
-from .mixing import word_count
+from .token_files import token_lengths
 
 #: Lengths up to this have a bin each; above, a bin spans 1/256 of its length, so all lengths below 2**40 make under 8,000 bins.
 EXACT_LENGTHS, FINENESS = 2048, 256
@@ -69,7 +70,8 @@ def pack(docs: DataFrame, length: Column, key: tuple[str, ...], buckets: int = B
     own = ["n_tokens", "bucket", "bucket_tokens", "batch", "slot"]
     n_in = len(docs.columns)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(docs.columns)], F.coalesce(length, F.lit(0)).cast("long").alias("_len"), F.xxhash64(*[F.col(f"`{k}`") for k in key]).alias("_order"))
-    hist = rows.groupBy(bin_top(F.col("_len")).alias("top")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pack-rows")
+    hist = rows.groupBy(bin_top(F.col("_len")).alias("bin")).agg(F.max("_len").alias("top"), F.count(F.lit(1)).alias("n")).collect()
     hist = sorted((int(r["top"]), int(r["n"])) for r in hist)
     bounds = choose_bounds([t for t, _ in hist], [c for _, c in hist], buckets) or [0]
     at = F.lit(len(bounds) - 1)
@@ -78,17 +80,16 @@ def pack(docs: DataFrame, length: Column, key: tuple[str, ...], buckets: int = B
         at = F.when(F.col("_len") <= bounds[i], F.lit(i)).otherwise(at)
         top = F.when(F.col("_len") <= bounds[i], F.lit(bounds[i])).otherwise(top)
     rows = rows.withColumn("_bucket", at.cast("int")).withColumn("_top", top.cast("long"))
-    rows = running_sum(rows, ["_bucket"], F.col("_order"), F.lit(1), "_place", sum(c for _, c in hist))
+    n_rows = sum(c for _, c in hist)
+    rows = running_sum(told_apart(rows, "_order", "_row", n_rows), ["_bucket"], F.col("_order"), F.lit(1), "_place", n_rows)
     room = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("_top"), F.lit(1))), F.lit(1)).cast("long")
     rows = rows.withColumn("_room", room)
     passed = [F.col(f"_p{i}").alias(c) for i, c in enumerate(docs.columns[:n_in]) if c not in own]
     return rows.select(*passed, F.col("_len").alias("n_tokens"), F.col("_bucket").alias("bucket"), F.col("_top").alias("bucket_tokens"), F.floor(F.col("_place") / F.col("_room")).alias("batch"), (F.col("_place") % F.col("_room")).alias("slot"))
 
 
-def pack_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``pack`` by the number of words of each whole text.  Columns other than the text pass through; with them and the number of words rows are
-    ordered by a hash, and only these narrow rows are shuffled."""
-    sized = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], word_count(F.col(text)).alias("_words"))
-    sized = written(sized, "pack-sizes")
-    key = tuple(sized.columns)
-    return pack(sized, F.col("_words"), key, **how).drop("_words")
+def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", **how) -> DataFrame:
+    """``pack`` by the number of tokens of each whole text, as the library counts them for a vocabulary file.  Columns other than the text pass
+    through; by a hash of them and the number of tokens rows are ordered, and only these narrow rows are shuffled."""
+    sized = token_lengths(docs, tokenizer_path, text, "_tokens")
+    return pack(sized, F.col("_tokens"), tuple(sized.columns), **how).drop("_tokens")

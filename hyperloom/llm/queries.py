@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
-BPE_FILE = "byte_bpe_50k.json"
+BPE_FILE, LIMIT = "byte_bpe_50k.json", 1024
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_count import token_counts
 
-    counts = token_counts(_docs(spark, sf_dir), public_tokenizers.path(BPE_FILE))
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    counts = token_counts(_docs(spark, sf_dir), public_tokenizers.path(BPE_FILE), budget=LIMIT)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_chars")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from .packing import pack_documents
 
-    return pack_documents(_docs(spark, sf_dir).select("doc_id", "text"))
+    return pack_documents(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(BPE_FILE))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]+")
 #: The pre-tokenizer's pattern over those characters (a fixed value of byte-level vocabularies of this kind).
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+WORD = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
 STANDARD = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-#: Entries of a worker's memory for pieces and for pairs; it is emptied when full, which changes no result.
-REMEMBERED = 400_000
+#: Entries of a worker's memory for words, pieces, prefixes and pairs; what was not asked for lately is forgotten, which changes no result.
+REMEMBERED = 300_000
 #: Letters of the longest words whose prefixes are remembered.
 SHARED = 48
 _inf = math.inf
@@ -47,6 +47,25 @@ def byte_letters() -> list[str]:
     return out
 
 
+class Remembered(dict):
+    """Values of a function by its argument.  Two generations of ``REMEMBERED`` entries at most are kept: when the younger one is full the
+    older one goes, and what is asked for again moves to the younger one."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PrefixCounter:
     """Exact token counts of texts and of all their prefixes, for a tokenizer file with a byte-level BPE model."""
 
@@ -69,8 +88,9 @@ class PrefixCounter:
         self.sides: dict[str, tuple[list, list]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.prefixes: dict[str, tuple[int, str]] = {"": (0, "")}
-        self.pieces: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        self.pieces = Remembered(self._plain)
+        self.words = Remembered(self._word_count)
+        self.plain_words = Remembered(lambda w: self._word_count(w.encode().decode("latin-1").translate(self.letters)))
 
     def _sides(self, token: str) -> tuple[list, list]:
         """What stands at the left and at the right border of a token while it is being made: (part, rank of the merge that takes it in)."""
@@ -162,42 +182,47 @@ class PrefixCounter:
             counts.append(have[0])
         return counts
 
-    def _word(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            if word in self.made or len(word) == 1:
-                n = 1
-            else:
-                n = self.word_counts(word)[-1]
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = n
-        return n
+    def _word_count(self, word: str) -> int:
+        return 1 if word in self.made or len(word) == 1 else self.word_counts(word)[-1]
+
+    def _is_plain(self, text: str) -> bool:
+        return self.plain and PLAIN.fullmatch(text) is not None
 
     def _plain(self, text: str) -> int:
-        if self.plain and PLAIN.fullmatch(text):
-            return sum([self._word(w.encode().decode("latin-1").translate(self.letters)) for w in WORD.findall(text)])
-        return sum(self._word(w) for w, _ in self.split(text)) if text else 0
+        if self._is_plain(text):
+            return sum(map(self.plain_words.__getitem__, WORD.findall(text)))
+        return sum(self.words[w] for w, _ in self.split(text)) if text else 0
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; strings of special tokens count as one, as the library takes them by default."""
         parts = self.cut.split(text) if self.cut and self.cut.search(text) else (text,)
         total = len(parts) - 1
         for part in parts:
-            if ODD_SPACE.search(part):
+            if self._is_plain(part) or ODD_SPACE.search(part):
                 total += self._plain(part)
-                continue
-            get = self.pieces.get
-            for piece in PIECE.findall(part):
-                n = get(piece)
-                if n is None:
-                    n = self._plain(piece)
-                    if len(self.pieces) >= REMEMBERED:
-                        self.pieces.clear()
-                    self.pieces[piece] = n
-                total += n
+            else:
+                total += sum(map(self.pieces.__getitem__, PIECE.findall(part)))
         return total
 
+    def fits(self, text: str, budget: int) -> int:
+        """Characters of the longest prefix that has at most ``budget`` tokens.  Sums over whole words lead to the border; prefixes are
+        tabled from three words before it to three words behind it, where every prefix is over the budget for good."""
+        if self.cut and self.cut.search(text):
+            return fits(self.prefix_counts(text), budget)
+        if self._is_plain(text):
+            words = WORD.findall(text)
+            totals = np.cumsum([self.plain_words[w] for w in words])
+        else:
+            cut = self.split(text)
+            words = [text[a:b] for _, (a, b) in cut]
+            totals = np.cumsum([self.words[w] for w, _ in cut])
+        border = int(np.searchsorted(totals, budget, side="right"))
+        if border == len(words):
+            return len(text)
+        first = max(0, border - 3)
+        begin, before = sum(map(len, words[:first])), int(totals[first - 1]) if first else 0
+        return begin + fits(before + self._plain_prefixes("".join(words[first : border + 4])), budget)
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Entry i is the token count of the text's first i characters, each exactly as if only they were encoded."""
         out = np.zeros(len(text) + 1, np.int64)
@@ -252,16 +277,18 @@ def _text_lists(batches: Iterator[pa.RecordBatch], column: int, most: int = 2000
             yield part, part.column(column).to_pylist()
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", prefixes: bool = False) -> DataFrame:
-    """id, n_bytes, n_tokens per row, and with ``prefixes`` also prefix_tokens: an array whose entry i is the count of the first i characters.
+def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", prefixes: bool = False, budget: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens per row; with ``budget`` also fit_chars, the characters of the longest prefix that has at most so many tokens; with
+    ``prefixes`` also prefix_tokens, an array whose entry i is the count of the first i characters.
 
-    A null text counts as empty: no bytes, no tokens, one prefix.  Rows with equal or null ids are counted each for itself.
+    The id's column keeps its name.  A null text counts as empty: no bytes, no tokens, one prefix.  Rows with equal or null ids are counted each for
+    itself; an empty table gives an empty result.  A word of any length is counted by the same table, in memory of its own length.
     The vocabulary file is read by the driver and sent along; it has the size of one vocabulary, whatever the corpus.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     key = docs.schema[id_column].dataType.simpleString()
-    schema = f"`{id_column}` {key}, n_bytes long, n_tokens long" + (", prefix_tokens array<bigint>" if prefixes else "")
+    schema = f"_id {key}, n_bytes long, n_tokens long" + (", fit_chars long" if budget is not None else "") + (", prefix_tokens array<bigint>" if prefixes else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(spec)
@@ -273,10 +300,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
             else:
                 counts = [counter.count(t) for t in texts]
             columns = [part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())]
-            names = [id_column, "n_bytes", "n_tokens"]
+            names = ["_id", "n_bytes", "n_tokens"]
+            if budget is not None:
+                columns.append(pa.array([len(t) if n <= budget else counter.fits(t, budget) for t, n in zip(texts, counts)], pa.int64()))
+                names.append("fit_chars")
             if prefixes:
                 columns.append(pa.array([p.tolist() for p in tables], pa.list_(pa.int64())))
                 names.append("prefix_tokens")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_column), F.col(text)).mapInArrow(run, schema)
+    out = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return out.select(F.col("_id").alias(id_column), *out.columns[1:])

@@ -17,17 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .token_count import ODD_SPACE, PIECE, PLAIN, STANDARD, WORD, _text_lists, byte_letters
+from .token_count import ODD_SPACE, PIECE, PLAIN, STANDARD, WORD, Remembered, _text_lists, byte_letters
 
-#: Text bytes of a file, entries of a worker's memory for pieces.
-FILE_BYTES, REMEMBERED = 32 << 20, 250_000
+#: Text bytes of a file, and pieces that a batch of texts brings to a worker's memory.
+FILE_BYTES, PIECES = 32 << 20, 250_000
 
 
 class PieceEncoder:
-    """Token ids as the library gives them.  Pieces that its pre-tokenizer never joins are encoded once and remembered.
+    """Token ids as the library gives them.
 
-    Pieces of plain characters fall into words by the pre-tokenizer's pattern, and the library's BPE model encodes each new word; all
-    other pieces, and all pieces of a tokenizer with another pre-tokenizer, go through the library as they are.
+    Texts of plain characters fall into words by the pre-tokenizer's pattern, and the library's BPE model encodes each word that the worker does
+    not remember.  Other texts are cut into pieces that the pre-tokenizer never joins; plain pieces go the same way, all others, and all pieces
+    of a tokenizer with another pre-tokenizer, go through the library as they are.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -42,47 +43,51 @@ class PieceEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.raw = {i: i.to_bytes(4, "little") for i in self.tokenizer.get_vocab().values()}
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Remembered(self._word)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            raw = self.raw
-            ids = b"".join([raw[t.id] for t in self.model.tokenize(letters)])
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
+    def _plain(self, text: str) -> bytes | None:
+        if self.plain and PLAIN.fullmatch(text):
+            return b"".join(map(self.words.__getitem__, WORD.findall(text)))
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut, whole, new = [], [], set()
-        known, word = self.known, self._word
-        for t in texts:
-            if ODD_SPACE.search(t) or any(s in t for s in self.specials):
-                cut.append(None)
-                whole.append(t)
-            else:
-                pieces = PIECE.findall(t)
-                cut.append(pieces)
-                new.update(pieces)
+        out: list[bytes | None] = []
+        cut, whole, new = {}, [], set()
+        for k, t in enumerate(texts):
+            special = any(s in t for s in self.specials)
+            out.append(None if special else b"" if not t else self._plain(t))
+            if out[k] is None:
+                if special or ODD_SPACE.search(t):
+                    whole.append(k)
+                else:
+                    cut[k] = PIECE.findall(t)
+                    new.update(cut[k])
+        known = self.known
         fresh = [p for p in new if p not in known]
-        if len(known) + len(fresh) > REMEMBERED:
+        if len(known) + len(fresh) > PIECES:
             known.clear()
             fresh = list(new)
         other = []
         for p in fresh:
-            if self.plain and PLAIN.fullmatch(p):
-                known[p] = b"".join([word(w) for w in WORD.findall(p)])
-            else:
+            ids = self._plain(p)
+            if ids is None:
                 other.append(p)
+            else:
+                known[p] = ids
         known.update(zip(other, self._whole(other)))
-        rest = iter(self._whole(whole))
-        return [next(rest) if pieces is None else b"".join([known[p] for p in pieces]) for pieces in cut]
+        for k, pieces in cut.items():
+            out[k] = b"".join([known[p] for p in pieces])
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -99,7 +104,8 @@ def _encoder(spec: str) -> PieceEncoder:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, id_column: str = "doc_id", text: str = "text") -> None:
     """Writes id, offset (ids of earlier rows in the same file), n_tokens and ids per row, in ascending id order over and inside the files.
 
-    A null text counts as empty and has the end id alone; a null id sorts first; rows with one id stay together in one file.
+    A null text counts as empty and has the end id alone; a null id sorts first; rows with one id stay together in one file.  Other columns are not
+    written; the id's column must not be named like one of the other three.  An empty table gives a folder that reads back empty.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
@@ -118,16 +124,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends[:-1] + offset, pa.int64()), pa.array(np.diff(ends), pa.int32()), lists], [id_column, "offset", "n_tokens", "ids"])
             offset += int(ends[-1])
 
-    rows = docs.select(F.col(id_column), F.col(text)).repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), F.col(id_column)).sortWithinPartitions(id_column)
+    rows = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text}`")).repartitionByRange(max(1, math.ceil(size / FILE_BYTES)), F.col(id_column)).sortWithinPartitions(id_column)
     rows = rows.mapInArrow(run, f"`{id_column}` {key}, offset long, n_tokens int, ids array<int>")
     options = {"orc.bloom.filter.columns": id_column, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
     rows.write.options(**options).orc(path)
 
 
 def file_bases(spark: SparkSession, path: str) -> DataFrame:
-    """file, base: the ids of all files before it.  One row per file, from the columns offset and n_tokens alone."""
+    """file, base: the ids of all files before it, by the number in a file's name.  One row per file, from the columns offset and n_tokens alone."""
     sizes = spark.read.orc(path).select(F.col("_metadata.file_name").alias("file"), (F.col("offset") + F.col("n_tokens")).alias("end")).groupBy("file").agg(F.max("end").alias("n"))
-    return sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    return sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
 
 def read_token_files(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
@@ -151,3 +158,21 @@ def digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFr
     key = rows.schema[id_column].dataType.simpleString()
     out = rows.mapInArrow(run, f"`{id_column}` {key}, offset long, file string, n_tokens long, ids_crc32 long")
     return out.join(file_bases(spark, path), "file").select(id_column, (F.col("offset") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def token_lengths(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """The columns of ``docs`` but the text, and how many ids the library gives each whole text (null: none)."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = f.read()
+    kept = [c for c in docs.columns if c not in (text, out)]
+    kinds = ", ".join([*(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), "_n long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = _encoder(spec)
+        for part, texts in _text_lists(batches, len(kept), 500):
+            n = [len(ids) // 4 for ids in encoder.encode([t or "" for t in texts])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64())], [*(f"_c{i}" for i in range(len(kept))), "_n"])
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("_t")).mapInArrow(run, kinds)
+    return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], F.col("_n").alias(out))
