@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._rank import running_sum
+from ._rank import running_sum, told_apart
 from ._scratch import written
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -109,23 +109,15 @@ def schedule(spark, sources: DataFrame, plan: MixPlan) -> DataFrame:
     return ranked.select("slot", "sid", "cycle", "block_no", stop.alias("stop"))
 
 
-def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("doc_id",), source: str = "source", text: str = "text") -> DataFrame:
-    """What the mix takes of each row: the columns of ``keep`` with size, source_size, target (double), taken (words, repeats counted) and
-    ``spans``, an array of (cycle, first, last): words first to last-1, counted from 0, are taken in that cycle.
-
-    A null text has no words; it and an empty text get taken 0 and no spans.  Null is a source of its own, the last one.
-    Repeated rows are rows of their own, each taken at most ``cycles`` times.  An empty table gives an empty result.
-    Reruns agree: the order of documents is that of a hash of their id, source and size.
-    """
-    spark = docs.sparkSession
-    names = [f"_x{i}" for i in range(len(keep))]
-    sized = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    sized = written(sized, "mix-sizes")
+def _mix(sized: DataFrame, plan: MixPlan) -> DataFrame:
+    """``sized`` is a written table with _row (no two alike), _order (a hash of the row's content), source, size and any other columns.
+    These with source_size, target, taken and spans."""
+    spark = sized.sparkSession
     sources = written(targets(sized, plan), "mix-targets")
-    order = F.xxhash64(F.lit(plan.seed), *names, "source", "size")
-    rows = sized.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "from", "to", "words", "slots")
-    rows = running_sum(rows, ["sid"], order, F.col("size"), "at", sized.count())
-    rows = written(rows, "mix-rows")
+    n_rows = sized.count()
+    rows = told_apart(sized, "_order", "_row", n_rows)
+    rows = rows.join(F.broadcast(sources.select(F.col("source").alias("_s"), "sid", "source_size", "target", "block")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = written(running_sum(rows, ["sid"], F.col("_order"), F.col("size"), "at", n_rows).drop("_order"), "mix-rows")
     full = rows.filter("size > 0")
     pieces = full.select("sid", "at", "size", "block", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))).alias("block_no"))
     first = F.greatest(F.col("block_no") * F.col("block") - F.col("at"), F.lit(0))
@@ -136,26 +128,46 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("do
     spans = spans.groupBy("sid", "at").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("cycle", "first", "last"))).alias("spans"))
     spans = spans.withColumnRenamed("sid", "_sid").withColumnRenamed("at", "_at")
     out = rows.join(spans, (F.col("sid") == F.col("_sid")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
-    return out.select(
-        *[F.col(n).alias(k) for k, n in zip(keep, names)], "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
-        F.coalesce("spans", F.array().cast("array<struct<cycle:bigint,first:bigint,last:bigint>>")).alias("spans"),
-    )
+    none = F.array().cast("array<struct<cycle:bigint,first:bigint,last:bigint>>")
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0))).withColumn("spans", F.coalesce("spans", none)).drop("sid", "at", "block", "_sid", "_at")
+
+
+def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ("doc_id",), source: str = "source", text: str = "text") -> DataFrame:
+    """What the mix takes of each row: the columns of ``keep`` with source, size, source_size, target (double), taken (words, repeats counted) and
+    ``spans``, an array of (cycle, first, last): words first to last-1, counted from 0, are taken in that cycle.
+
+    A null text has no words; it and an empty text get taken 0 and no spans.  Null is a source of its own, the last one.
+    Repeated rows are rows of their own, each taken at most ``cycles`` times.  An empty table gives an empty result.  Other columns are not read, and
+    a column of ``keep`` may bear an output's name.  A text of any length is a run of blocks like many short ones.
+    Reruns agree: the order of documents is that of a hash of the kept columns, source and size.
+    """
+    names = [f"_x{i}" for i in range(len(keep))]
+    sized = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keep, names)], F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    sized = sized.select("*", F.xxhash64(F.lit(plan.seed), *names, "source", "size").alias("_order"), F.monotonically_increasing_id().alias("_row"))
+    out = _mix(written(sized, "mix-sizes"), plan)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], "source", "size", "source_size", "target", "taken", "spans")
 
 
-def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan(), text: str = "text") -> DataFrame:
+def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan(), source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each cycle in which a document is taken, whole texts as they are, others as the
-    taken words joined by one space.  ``n_chars``, if there, follows the text.  Documents without words are not taken by any slot, so they are left out."""
+    taken words joined by one space.  ``n_chars``, if there, follows the text.  Documents without words are not taken by any slot, so they are left out.
+
+    Rows are numbered and written once; the mix works on numbers, sources and sizes, and texts meet their spans by the number, in one shuffle.
+    """
     keep = tuple(docs.columns)
-    took = mix(docs, plan, keep=keep, text=text).drop("source_size", "target", "taken")
-    n = len(keep)
-    took = took.toDF(*[f"_c{i}" for i in range(n)], "_source", "_size", "_spans").select("*", F.explode("_spans").alias("_span"))
-    t = F.col(f"_c{keep.index(text)}")
+    c = [f"_c{i}" for i in range(len(keep))]
+    t, s = F.col(c[keep.index(text)]), F.col(c[keep.index(source)])
+    base = docs.toDF(*c).select("*", word_count(t).alias("_size"), F.monotonically_increasing_id().alias("_row"))
+    base = written(base.withColumn("_order", F.xxhash64(F.lit(plan.seed), *c)), "mix-documents")
+    took = _mix(base.select("_row", "_order", s.alias("source"), F.col("_size").alias("size")), plan)
+    took = took.filter("taken > 0").select("_row", "spans")
+    rows = base.drop("_order").join(took, "_row").select("*", F.explode("spans").alias("_span"))
     words = F.array_remove(F.split(t, SPACES), "")
     whole = (F.col("_span.first") == 0) & (F.col("_span.last") == F.col("_size"))
     cut = F.array_join(F.slice(words, (F.col("_span.first") + 1).cast("int"), (F.col("_span.last") - F.col("_span.first")).cast("int")), " ")
-    took = took.withColumn("_t", F.when(whole, t).otherwise(cut))
+    rows = rows.withColumn("_t", F.when(whole, t).otherwise(cut))
     out = []
-    for i, c in enumerate(keep):
-        x = F.col("_t") if c == text else F.length("_t").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"_c{i}")
-        out.append(x.alias(c))
-    return took.select(*out)
+    for name, column in zip(keep, c):
+        x = F.col("_t") if name == text else F.length("_t").cast(docs.schema[name].dataType) if name == "n_chars" else F.col(column)
+        out.append(x.alias(name))
+    return rows.select(*out)

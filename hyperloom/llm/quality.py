@@ -11,8 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import written
-
 # Frequent function words of the languages that the corpus is known to hold.
 STOP_WORDS = {
     "en": "a and are as at be but by for from had have he her his in is it not of on or she that the their they this to was were which with you",
@@ -145,8 +143,10 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 def kept_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, as they are.
 
-    Verdicts are written with the rows and the filter reads them back; over the projections themselves the optimizer would push the filter to
-    the bottom and work every measure out again for each mention of it.
+    The filter also asks for a number that Spark may not work out twice.  Without it the optimizer would push the filter below the projections and
+    work every measure out again for each mention of it.
     """
-    rated = written(quality_rules(docs, text, rules).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias("_kept")), "rated")
-    return rated.filter("_kept").drop("_kept")
+    n = len(docs.columns)
+    renamed = docs.toDF(*[f"_d{i}" for i in range(n)]).withColumn("_text_", F.col(f"_d{docs.columns.index(text)}"))
+    rated = quality_rules(renamed, "_text_", rules).withColumn("_once", F.monotonically_increasing_id())
+    return rated.filter(F.col("kept") & (F.col("_once") >= 0)).select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -3,13 +3,18 @@
 import itertools
 import random
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from hyperloom.llm import mixing, packing
+from hyperloom.llm._rank import told_apart
 from hyperloom.llm._scratch import written
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def brute_targets(sizes, weights=(3, 1, 2)):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
@@ -114,8 +119,11 @@ def test_pack(spark):
     r = random.Random(2)
     rows = [(i, "w " * (40 if i % 3 == 0 else r.randint(0, 600))) for i in range(900)] + [(900, None), (901, "w " * 70_000), (3, "w " * 40), (None, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash"))
-    got = packing.pack_documents(docs).collect()
-    assert sorted(q.n_tokens for q in got) == sorted(len((t or "").split()) for _, t in rows)
+    got = packing.pack_documents(docs, PATH).collect()
+    library = Tokenizer.from_file(PATH)
+    n = {t: len(library.encode(t or "", add_special_tokens=False).ids) for t in {t for _, t in rows}}
+    assert sorted(q.n_tokens for q in got) == sorted(n[t] for _, t in rows)
+    assert {q.bucket_tokens for q in got} <= set(n.values())
     batches = {}
     for q in got:
         assert q.n_tokens <= q.bucket_tokens
@@ -126,7 +134,7 @@ def test_pack(spark):
     for k in {q.bucket for q in got}:  # all but the last batch of a bucket are full
         n = [len(batches[k, i]) for i in range(max(b for c, b in batches if c == k) + 1)]
         assert len(set(n[:-1])) <= 1
-    assert packing.pack_documents(docs.limit(0)).count() == 0
+    assert packing.pack_documents(docs.limit(0), PATH).count() == 0
 
 
 def test_bins_are_few_and_above(spark):
@@ -156,5 +164,36 @@ def test_pipeline_stages(spark):
     assert set(cut) == kept[1] and len(cut[102].text.split()) == 70 and len(cut[101].text.split()) == 110 and cut[102].n_chars == len(cut[102].text)
     words = sum(len(q.text.split()) for q in seen[2][1])
     mixed = sum(len(q.text.split()) for q in seen[3][1])
-    assert abs(mixed - 1.5 * words) < 0.05 * words and sum(q.n_tokens for q in seen[4][1]) == mixed
+    library = Tokenizer.from_file(PATH)
+    assert abs(mixed - 1.5 * words) < 0.05 * words
+    assert sorted(q.n_tokens for q in seen[4][1]) == sorted(len(library.encode(q.text, add_special_tokens=False).ids) for q in seen[3][1])
     assert len(seen[4][1]) == len(seen[3][1])
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """An empty table, null and repeated ids, clashing and extra columns, a hot source and a hot group of equal rows."""
+    r = random.Random(8)
+    vocab = ["the", "of", "and"] * 8 + [*("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(400))]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    same = text(50)
+    rows = [(i, text(60), "en", "hot" if i % 3 else f"s{i}", 0, i) for i in range(60)] + [(7, same, "en", None, 0, 7)] * 40 + [(None, same, None, "hot", 0, None)] * 3 + [(200, "", "en", "hot", 0, 1), (201, None, "en", "hot", 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, batch long")
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "none").mkdir()
+    docs.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "bucket", "bucket_tokens", "batch", "slot"]
+    got = got.collect()
+    assert {q.doc_id for q in got} <= {*range(60), None} and sum(q.doc_id is None for q in got) >= 3
+    # all rows of one doc_id are one node: the forty equal rows and the other row 7 stay, and share the target of the null source
+    assert sum(q.doc_id == 7 for q in got) >= 40
+
+
+def test_equal_rows_are_told_apart(spark):
+    rows = spark.range(5000).select(F.col("id").alias("row"), F.when(F.col("id") < 3000, F.lit(5)).otherwise(F.xxhash64("id")).alias("o"))
+    rows = written(rows, "rows")
+    one, two = (told_apart(x, "o", "row", 5000) for x in (rows, written(rows.repartition(7), "again")))
+    assert one.select("o").distinct().count() == 5000
+    assert sorted(q.o for q in one.collect()) == sorted(q.o for q in two.collect())
