@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed now and kept in the folder of ``spark.checkpoint.dir``, which executors share; plans over them stay short, and a lost
-    executor loses nothing.  Where the setting is missing, as in tests, a temporary folder serves."""
+    executor loses nothing.  On a cluster the setting must be there; where all of Spark is one local process, a temporary folder serves."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hyperloom-"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hyperloom-"))
     return df.checkpoint()
