@@ -33,8 +33,10 @@ def plan_sizes(n_bytes: int) -> tuple[int, int]:
 
 
 def chunk_of(n_chunks: int, doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A chunk by id; rows without an id are spread by their text."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text))), F.lit(n_chunks)).cast("int")
+    """A chunk by id; rows without an id are spread by their text, rows without a text at random, since they ask for nothing."""
+    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text)))
+    none = F.coalesce(F.octet_length(text), F.lit(0)) == 0
+    return F.pmod(F.when(none, F.xxhash64(F.monotonically_increasing_id())).otherwise(key), F.lit(n_chunks)).cast("int")
 
 
 def chunked(docs: DataFrame, n_chunks: int, *columns: str) -> DataFrame:

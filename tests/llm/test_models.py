@@ -98,13 +98,27 @@ def test_scores_are_the_automaton(spark):
 
 
 def test_automaton_sums_to_one():
-    a = lm_score.BackoffAutomaton([list("abca"), list("ab"), []], strength=2.0)
-    for h in (a.end, "a", "c"):
+    a = lm_score.BackoffAutomaton([list("abca"), list("ab"), list("abab"), []], strength=2.0)
+    assert any(len(h) == 2 for h in a.states) and ("b", "c") not in a.states  # seen once: no state
+    for h in a.states:
         total = 0
-        for w in [*a.seen]:
-            state, lp = h, 0.0
-            if (state, w) not in a.arcs:
-                lp, state = a.failure[h], a.root
-            total += 10 ** (lp + a.arcs[state, w])
-        unseen = 10 ** a.failure[h] * a.unseen
-        assert total + unseen == pytest.approx(1)
+        for w in [*a.seen, "unseen"]:
+            at, lp = h, 0.0
+            while at and (at, w) not in a.arcs:
+                lp, at = lp + a.failure[at], at[1:]
+            total += 10 ** (lp + a.arcs.get((at, w), np.log10(a.unseen)))
+        assert h[-1:] == (a.end,) and len(h) == 2 or total == pytest.approx(1)
+
+
+def test_triples_matter(spark):
+    """Texts whose pairs are alike and whose triples differ: only a state of two words tells them apart."""
+    rows = [(i, "x b y") for i in range(30)] + [(100 + i, "z b w") for i in range(30)] + [(200, "x b w"), (201, "x b y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {q.doc_id: q.score for q in lm_score.score_texts(docs, F.col("doc_id") < 200, strength=1.0).collect()}
+    assert got[201] > got[200] + 0.5
+
+
+def test_arcs_fall_back():
+    # state 1 follows word 0, state 2 the pair (0, 0); words 0 and 1
+    arcs = lm_score.Arcs(2, np.array([0, 0, 1, 2]), np.array([0, 1, 0, 1]), np.array([-1.0, -2.0, -0.5, -0.1]), np.array([0, 0, 1]), np.array([0.0, -0.3, -0.7]))
+    assert arcs.read(np.array([0, 1, 1, 2, 2]), np.array([1, 0, 1, 1, 0])).tolist() == pytest.approx([-2.0, -0.5, -2.3, -0.1, -1.2])
