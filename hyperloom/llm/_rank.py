@@ -45,3 +45,17 @@ def told_apart(df: DataFrame, order: str, row: str, n_rows: int) -> DataFrame:
         return df
     numbered = running_sum(df, [order], F.xxhash64(row), F.lit(1), "_nth", n_rows)
     return numbered.withColumn(order, F.when(F.col("_nth") > 0, F.xxhash64(order, "_nth")).otherwise(F.col(order))).drop("_nth")
+
+
+#: Keys that hold more than one HOT-th of all rows are fewer than HOT, so a table of them is small enough to broadcast.
+HOT, HOT_ROWS = 10_000, 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
+    """An inner join of ``rows`` with a table of one row per key, whose ``count`` tells how many of the ``n_rows`` rows have the key.
+
+    Rows of frequent keys stay where they are and meet a broadcast of at most ``HOT`` table rows; the others are joined as usual.
+    """
+    hot = F.col(count) > max(n_rows // HOT, HOT_ROWS)
+    often, seldom = F.broadcast(table.filter(hot)), table.filter(~hot)
+    return rows.join(often, keys).unionByName(rows.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti").join(seldom, keys))

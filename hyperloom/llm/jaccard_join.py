@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import chunked, cuts, groups_of, hash_bits, pack, pack_sorted, plan_sizes, stable_order, unpack, unpack_sorted, volume
-from ._scratch import written
+from ._rank import join_hot
+from ._scratch import forget, written
 from ._text import Words, gram_hash, mix, windows
 from .components import components
 
@@ -27,6 +28,8 @@ SHINGLE, PERCENT = 5, 75
 SMALL_GROUP = 16
 #: Members of a block, in which the pairs of a component are tested, and columns of the blocks' products taken at once.
 BLOCK, COLUMNS = 128, 4096
+#: Pairs that a set is sent for at once, bytes of sets in a group of them, and members of a prefix shingle that meet in one group.
+LOT, GROUP_BYTES, MEETING = 256, 4 << 20, 512
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,29 +148,56 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("row", "doc_id", "n", "rare", "grams").mapInArrow(run, "gram long, row long, doc_id long, n long, rare long, pos long")
 
 
-def suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """An upper bound of the overlap: hashes are cut into 64 ranges, and a range shares at most its smaller side."""
-    return int(np.minimum(np.bincount((a >> np.uint64(58)).astype(np.int64), minlength=64), np.bincount((b >> np.uint64(58)).astype(np.int64), minlength=64)).sum())
+def suffix_bounds(x: np.ndarray, y: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Upper bounds of how many hashes x shares with each of n sets, whose hashes are y: hashes are cut into 64 ranges, and a range shares at
+    most its smaller side."""
+    cells = np.bincount(owner * 64 + (y >> np.uint64(58)).astype(np.int64), minlength=64 * n).reshape(n, 64)
+    return np.minimum(cells, np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=64)).sum(1)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b (doc_ids) of the pairs (row_a, row_b) whose sets pass the suffix filter and the exact test."""
+def similar(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are similar to x, by the suffix filter and then exactly."""
+    n = np.array([len(y) for y in others], np.int64)
+    y, owner = np.concatenate(others), np.repeat(np.arange(len(others)), n)
+    need = -(-percent * (len(x) + n) // (100 + percent))
+    may = suffix_bounds(x, y, owner, len(others)) >= need
+    y, owner = y[may[owner]], owner[may[owner]]
+    x = np.sort(x)
+    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    return may & (np.bincount(owner[hit], minlength=len(others)) >= need)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a_out, b_out = [], []
-            for a, x, b, y in zip(*(batch.column(i) for i in range(4))):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                if suffix_bound(x, y) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need:
-                    a_out.append(a.as_py())
-                    b_out.append(b.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b (doc_ids) of the pairs (row_a, row_b) whose sets are similar.
+
+    A set of row_a goes once to each lot of up to ``LOT`` of its pairs; lots share groups of about ``GROUP_BYTES``.
+    """
+    n = pairs.count()
+    mean = sets.agg(F.coalesce(F.avg(F.octet_length("grams")), F.lit(0.0)).alias("b")).first()["b"]
+    groups = max(1, int(n * mean // GROUP_BYTES))
+    lots = F.ceil(F.col("m") / LOT)
+    many = pairs.groupBy("row_a").agg(F.count(F.lit(1)).alias("m"))
+    p = written(join_hot(pairs, many, ["row_a"], "m", n).select("row_a", "row_b", F.pmod(F.xxhash64("row_b"), lots).cast("int").alias("lot")), "lots")
+    group = F.pmod(F.xxhash64("row_a", "lot"), F.lit(groups)).cast("int").alias("g")
     s = sets.select("row", "doc_id", "grams")
-    x = s.toDF("row_a", "a", "x")
-    y = s.toDF("row_b", "b", "y")
-    return pairs.join(x, "row_a").join(y, "row_b").select("a", "x", "b", "y").mapInArrow(run, "a long, b long")
+    leads = p.select("row_a", "lot").distinct().join(s.toDF("row_a", "doc", "grams"), "row_a").select(group, "row_a", "lot", "doc", "grams").toDF("g", "row_a", "lot", "doc", "grams")
+    follow = p.join(s.toDF("row_b", "doc", "grams"), "row_b").select(group, F.col("row_a").alias("lead"), F.col("lot").alias("of"), "doc", "grams").toDF("g", "row_a", "lot", "doc", "grams")
+
+    def run(key, left, right):
+        read = lambda t: list(zip(t["row_a"].to_pylist(), t["lot"].to_pylist()))
+        lead = {k: (d, x) for k, d, x in zip(read(left), left["doc"].to_pylist(), left["grams"])}
+        lots: dict[tuple, list] = {}
+        for k, d, y in zip(read(right), right["doc"].to_pylist(), right["grams"]):
+            lots.setdefault(k, []).append((d, y))
+        a_out, b_out = [], []
+        for k, many in lots.items():
+            a, x = lead[k]
+            ok = similar(np.frombuffer(x.as_py(), "<u8"), [np.frombuffer(y.as_py(), "<u8") for _, y in many], percent)
+            b_out += [d for (d, _), yes in zip(many, ok) if yes]
+            a_out += [a] * int(ok.sum())
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return leads.groupBy("g").cogroup(follow.groupBy("g")).applyInArrow(run, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -258,6 +288,11 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     return rows, links
 
 
+def _groups(p: DataFrame, lead, draw) -> DataFrame:
+    """Shingles that several prefixes hold, with their members, the central one and a drawn one."""
+    return p.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), lead("rare").alias("centre"), lead(draw.alias("h")).alias("drawn")).filter("members > 1")
+
+
 def _component():
     return F.when(F.col("doc_id").isNotNull(), F.coalesce(F.least("component", "doc_id"), "doc_id"))
 
@@ -275,10 +310,14 @@ def _connected(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
     draw = F.xxhash64("gram", "row")
     # the member with the fewest shingles of its own leads: in a group of near copies, what they were copied from
     lead = lambda *first: F.min(F.struct(*first, "doc_id", "row", "n"))
-    groups = p.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), lead("rare").alias("centre"), lead(draw.alias("h")).alias("drawn")).filter("members > 1")
     centre, drawn = F.struct("centre.row", "centre.n"), F.struct("drawn.row", "drawn.n")
     leads = F.when(F.col("members") <= SMALL_GROUP, F.array(centre)).otherwise(F.array(centre, drawn))
-    p = written(p.join(groups.select("gram", "members", leads.alias("leads")), "gram"), "prefixes")
+    p = written(p, "prefix-shingles")
+    groups = written(_groups(p, lead, draw).select("gram", "members", leads.alias("leads")), "leads")
+    n_members = groups.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first()["n"]
+    shared = written(join_hot(p, groups, ["gram"], "members", n_members), "prefixes")
+    forget(p, groups)
+    p = shared
     near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     stars = p.select("row", "n", F.explode("leads").alias("lead")).filter((F.col("row") != F.col("lead.row")) & near(F.col("n"), F.col("lead.n")))
     stars = written(stars.select(F.least("row", "lead.row").alias("row_a"), F.greatest("row", "lead.row").alias("row_b")).distinct(), "pairs")
@@ -286,13 +325,18 @@ def _connected(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
     parts = components(links)
     # second round: pairs that share a prefix shingle but no component yet
     here = p.select("gram", "row", "doc_id", "n", "pos").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    mixed = here.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram")
-    here = written(here.join(mixed, "gram", "left_semi"), "unconnected")
-    one = here.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("row", "n", "pos", "c")])
-    two = here.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "pos", "c")])
+    here = written(here, "prefixes-in-components")
+    mixed = here.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("gram", "members")
+    # a shingle of many members: they are dealt over blocks, which meet two by two
+    here = join_hot(here, mixed, ["gram"], "members", n_members).withColumn("blocks", F.ceil(F.col("members") / MEETING).cast("int"))
+    here = here.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    here = written(here.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")), "unconnected")
+    one = here.select("gram", "i", "j", *[F.col(c).alias(f"{c}_a") for c in ("row", "n", "pos", "c", "own")])
+    two = here.select("gram", "i", "j", *[F.col(c).alias(f"{c}_b") for c in ("row", "n", "pos", "c", "own")])
+    apart = (F.col("i") == F.col("j")) | (F.col("own_a") != F.col("own_b"))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    more = one.join(two, "gram").filter((F.col("row_a") < F.col("row_b")) & (F.col("c_a") != F.col("c_b")) & near(F.col("n_a"), F.col("n_b")) & (left >= need))
+    more = one.join(two, ["gram", "i", "j"]).filter(apart & (F.col("row_a") < F.col("row_b")) & (F.col("c_a") != F.col("c_b")) & near(F.col("n_a"), F.col("n_b")) & (left >= need))
     more = more.select("row_a", "row_b").distinct().join(stars, ["row_a", "row_b"], "left_anti")
     new_links = written(verified(written(more, "pairs"), sets, percent), "links")
     parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new_links))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hyperloom.llm import embed_dedup, jaccard_join, substring
+from hyperloom.llm import _rank, embed_dedup, jaccard_join, substring
 from hyperloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +93,9 @@ def test_jaccard_gives_every_link(spark, corpus, monkeypatch):
     docs = spark.createDataFrame(corpus, "doc_id long, text string")
     for block in (128, 7):  # the near copies in one block, and in many
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "MEETING", block)
+        monkeypatch.setattr(jaccard_join, "LOT", block)
+        monkeypatch.setattr(_rank, "HOT_ROWS", 5 * block)
         rows, found = jaccard_join.jaccard_components(docs)
         assert sorted((r.a, r.b) for r in found.collect()) == sorted(links)
         assert {r.doc_id: r.n_links for r in rows.collect()} == {i: sum(i in p for p in links) for i in ids}
@@ -111,10 +114,29 @@ def test_suffix_bound_holds():
     for _ in range(50):
         pool = r.integers(0, 2**63, 40).astype(np.uint64)
         a, b = r.choice(pool, 25, replace=False), r.choice(pool, 20, replace=False)
-        assert jaccard_join.suffix_bound(a, b) >= len(np.intersect1d(a, b))
+        c = r.choice(pool, 9, replace=False)
+        bounds = jaccard_join.suffix_bounds(a, np.concatenate([b, c]), np.repeat([0, 1], [len(b), len(c)]), 2)
+        assert (bounds >= [len(np.intersect1d(a, b)), len(np.intersect1d(a, c))]).all()
 
 
-def test_components_of_paths_and_hubs(spark):
+def test_similar_is_exact():
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 60).astype(np.uint64) * np.uint64(2)
+    others = [np.concatenate([r.choice(base, k, replace=False), r.integers(0, 2**63, m).astype(np.uint64)]) for k in (60, 55, 52, 45, 44, 3) for m in (0, 1, 8, 30)]
+    want = [100 * len(np.intersect1d(base, y)) >= 75 * len(np.union1d(base, y)) for y in others]
+    assert jaccard_join.similar(base, others, 75).tolist() == want and 3 < sum(want) < 20
+
+
+def test_join_hot(spark, monkeypatch):
+    monkeypatch.setattr(_rank, "HOT_ROWS", 20)
+    rows = spark.range(300).select(F.col("id").alias("x"), F.when(F.col("id") < 100, 7).otherwise(F.col("id") % 50).alias("k"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("m")).filter("k <> 3")
+    got = sorted(tuple(q) for q in _rank.join_hot(rows, table, ["k"], "n", 300).select("x", "k", "m").collect())
+    assert got == sorted(tuple(q) for q in rows.join(table, "k").select("x", "k", "m").collect()) and len(got) > 250
+
+
+def test_components_of_paths_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(_rank, "HOT_ROWS", 30)
     r = random.Random(4)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(1000, 1100)] + [(5, 5), (None, 3), (60, 50), (50, 60)]
     r.shuffle(links)
@@ -181,6 +203,7 @@ def test_vectors(spark, aim, monkeypatch):
     plain = embed_dedup.Plan.make
     monkeypatch.setattr(embed_dedup.Plan, "make", staticmethod(lambda d, c, n: plain(d, c, n, aim=aim)))
     monkeypatch.setattr(embed_dedup, "BLOCK", 50 if aim == 24 else 2048)
+    short = [(9100, [1.0, 2.0], 1), (9102, [1.0, 2.0], 1), (9104, [1.1, 2.0], 1), (9106, [2.0, -1.0], 1), (9108, [5.0], 2), (9110, [3.0], 2), (9112, [-3.0], 2)]
     good = rows + [odd[-1]]
     ids, lab = [x[0] for x in good], np.array([x[2] for x in good])
     x = np.array([x[1] for x in good])
@@ -189,12 +212,43 @@ def test_vectors(spark, aim, monkeypatch):
     np.fill_diagonal(link, False)
     comp = union(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(link)))])
     want = {n: (int(k), comp[n], comp[n] == n) for n, k in zip(ids, link.sum(1))} | {o[0]: (0, o[0], True) for o in odd[:-1]}
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")
+    want |= {9100: (2, 9100, True), 9102: (2, 9100, False), 9104: (2, 9100, False), 9106: (0, 9106, True), 9108: (1, 9108, True), 9110: (1, 9108, False), 9112: (0, 9112, True)}
+    del want[9006]
+    want[9006] = (0, 9006, True)
+    df = spark.createDataFrame(rows + odd + short, "vec_id long, embedding array<double>, label int")
     got = {q.vec_id: (q.n_links, q.component_id, q.kept) for q in embed_dedup.near_duplicates(df).collect()}
     assert got == want
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_windows_are_counted():
+    """Window collisions in the sorted orders are what comparing all projections gives."""
+    r = np.random.default_rng(4)
+    p = embed_dedup.Plan.make(16, 0.93, 100)
+    x, y = r.normal(size=(70, 16)), r.normal(size=(90, 16))
+    y[:20] = x[:20] + 0.05 * r.normal(size=(20, 16))
+    counted = p.directions()[2]
+    px, py = x @ counted.T, y @ counted.T
+    got = embed_dedup.collisions(*embed_dedup.query_windows(px, py, p.window))
+    assert (got == (np.abs(px[:, None] - py[None]) <= p.window).sum(2)).all() and got[:20, :20].diagonal().min() >= p.least
+
+
+def test_links_need_the_count(monkeypatch):
+    """Pairs whose windows collide too seldom are not verified."""
+    x = np.eye(16)[[0, 0]]
+    p = embed_dedup.Plan.make(16, 0.93, 2)
+    cells = np.zeros((2, 1), np.int64)
+    assert embed_dedup.link_block(x, None, cells, None, 0, p)[0].tolist() == [0]
+    monkeypatch.setattr(embed_dedup, "collisions", lambda place, begin, width: np.zeros((len(begin), len(place)), np.int8))
+    assert embed_dedup.link_block(x, None, cells, None, 0, p)[0].tolist() == []
+
+
+def test_vectors_odd_tables(spark):
+    df = spark.createDataFrame([("7", [1.0, 0.0], 1, 5), ("8", [1.0, 0.01], 1, 5), ("x", [1.0, 0.0], 1, 5), (None, [1.0, 0.0], 1, 5), ("9", [1.0] * 5000, 1, 5), ("11", [1.0] * 5000, 1, 5)], "vec_id string, embedding array<double>, label int, n_links int")
+    got = sorted((str(q.vec_id), q.n_links, str(q.component_id)) for q in embed_dedup.near_duplicates(df).collect())
+    assert got == [("11", 1, "9"), ("7", 1, "7"), ("8", 1, "7"), ("9", 1, "9"), ("None", 0, "None"), ("None", 0, "None")]
+
+
 def test_plan_recall():
     """The planned recall, measured on pairs exactly at the threshold."""
     r = np.random.default_rng(8)
