@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,11 +178,57 @@ def test_substring(spark, corpus):
     assert back.filter("n_chars <> length(text)").count() == 0
 
 
+def test_nothing_goes_without_paths(spark, corpus, monkeypatch):
+    """What is removed stands on compacted paths."""
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    plain = substring.compact
+    monkeypatch.setattr(substring, "compact", lambda parts: plain(parts).limit(0))
+    assert substring.remove_repeats(docs).filter("n_removed > 0").count() == 0
+
+
+def test_words_are_compared(spark, corpus, monkeypatch):
+    """With hashes of 13 bits many windows share one, but only equal words go, and only if no smaller document has the hash."""
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    want, _ = brute_removal(corpus)
+    plain = substring._walk
+
+    def garbled(chunk, e, answers, k):
+        table = plain(chunk, e, answers, k)
+        words = [x and x.replace(b"a", b"z") for x in table["words"].to_pylist()]
+        return table.set_column(table.column_names.index("words"), "words", pa.array(words, pa.binary()))
+
+    monkeypatch.setattr(substring, "_walk", garbled)  # sources whose words are others than their hashes say
+    got = {q.doc_id: q.n_removed for q in substring.remove_repeats(docs).collect()}
+    assert all(got[i] <= want[i][1] for i in got) and sum(got.values()) < sum(x[1] for x in want.values()) / 2
+
+
+def test_paths_compact_across_sources(spark):
+    """Nodes with one interval in and one out join intervals of different sources; a branch and a ring do not."""
+    rows = [(1, 0, 5, 100, 101), (2, 7, 4, 101, 102), (3, 0, 2, 102, 103), (3, 2, 3, 103, 104), (4, 0, 9, 103, 105), (5, 0, 6, 200, 201), (6, 0, 6, 201, 200)]
+    parts = spark.createDataFrame(rows, "src long, at long, n long, head long, tail long").withColumn("run", F.lit(0)).withColumn("starts", F.lit(1))
+    got = {(q.src, q.at): (q.path_src, q.path_at, q.path_offset) for q in substring.compact(parts).collect()}
+    assert got == {(1, 0): (1, 0, 0), (2, 7): (1, 0, 5), (3, 0): (1, 0, 9), (3, 2): (3, 2, 0), (4, 0): (4, 0, 0), (5, 0): (5, 0, 0), (6, 0): (6, 0, 0)}
+
+
+def test_hot_passage_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(substring, "LOT", 3)
+    monkeypatch.setattr(_rank, "HOT_ROWS", 10)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"a{i} b{i} " + passage + f" c{i}") for i in range(90)]
+    got = {q.doc_id: (q.n_removed, q.text) for q in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (30 if i else 0, t if not i else f"a{i} b{i} c{i}") for i, t in rows}
+
+
 def test_substring_odd_ids(spark):
     t = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(None, t), (8, t), (8, t), (9, t), (-3, "short")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_removed) for r in substring.remove_repeats(docs).collect())
     assert got == [("-3", 0), ("8", 0), ("8", 0), ("9", 20), ("None", 0)]
+    # rows of one id with different texts at the same places
+    u = " ".join(f"u{i}" for i in range(25))
+    docs = spark.createDataFrame([(3, t), (3, u), (3, u), (7, u + " " + t), (9, t), (9, "x " + u)], "doc_id long, text string")
+    got = sorted((q.doc_id, q.n_words, q.n_removed) for q in substring.remove_repeats(docs).collect())
+    assert got == [(3, 20, 0), (3, 25, 0), (3, 25, 0), (7, 45, 45), (9, 20, 20), (9, 26, 25)]
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
