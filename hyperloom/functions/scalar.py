@@ -27,8 +27,8 @@ def samples_for_error(variance: Column, truth: Column, eps: float = 0.1) -> Colu
 
 
 def correlation(a: Column | str, b: Column | str) -> Column:
-    """Pearson's correlation; null where one side does not vary, which the built-in function takes for an error."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    """Pearson's correlation; 0 where one side does not vary, which the built-in function takes for an error."""
+    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
 
 
 def nan_mean(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +58,11 @@ def oriented(edges: DataFrame, deg: DataFrame) -> DataFrame:
     return e.select("graph", pick("u", "v").alias("x"), pick("v", "u").alias("y"), pick("du", "dv").alias("dx"), pick("dv", "du").alias("dy"))
 
 
-def triangles(edges: DataFrame, deg: DataFrame) -> DataFrame:
-    """graph, x, y, z, dx, dy, dz: every triangle once, x < y < z by (degree, id)."""
+def triangles(edges: DataFrame, deg: DataFrame, base: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """graph, x, y, z, dx, dy, dz: every triangle once, x < y < z by (degree, id).  ``base``, if given, chooses the edges (x, y) over which they are listed."""
     f = oriented(edges, deg)
     g = f.select("graph", "x", F.col("y").alias("z"), F.col("dy").alias("dz"))
-    wedges = f.join(g, ["graph", "x"]).filter(F.struct("dy", "y") < F.struct("dz", "z"))
+    wedges = (base(f) if base else f).join(g, ["graph", "x"]).filter(F.struct("dy", "y") < F.struct("dz", "z"))
     closing = f.select("graph", F.col("x").alias("y"), F.col("y").alias("z"))
     return wedges.join(closing, ["graph", "y", "z"], "left_semi").select("graph", "x", "y", "z", "dx", "dy", "dz")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.ranks import positions
 from . import graphs
 
 MAX_SIZE = 25
@@ -53,7 +54,7 @@ class Closure:
         if not self._kept:
             self._kept = True
             self.hyperedges = cut(self.hyperedges)
-            for name in ("edges", "degrees", "covered", "cross", "edge_t"):
+            for name in ("edges", "degrees", "covered", "cross", "edge_cross"):
                 self.__dict__[name] = cut(getattr(self, name))
         return self
 
@@ -75,8 +76,7 @@ class Closure:
     def vertices(self) -> DataFrame:
         """graph, v, deg, n_hyper, rk (position by degree and id)."""
         n = self.incidence.groupBy("graph", "v").agg(F.count(F.lit(1)).alias("n_hyper"))
-        rk = F.row_number().over(Window.partitionBy("graph").orderBy("deg", "v")) - 1
-        return self.degrees.join(n, ["graph", "v"]).withColumn("rk", rk.cast("long"))
+        return positions(self.degrees.join(n, ["graph", "v"]), ["graph"], ["deg", "v"], "rk")
 
     @cached_property
     def triangles(self) -> DataFrame:
@@ -94,41 +94,66 @@ class Closure:
     @cached_property
     def cross(self) -> DataFrame:
         """graph, x, y, z, dx, dy, dz: the triangles that no hyperedge holds, x < y < z by (degree, id)."""
+        return self._uncovered(self.triangles)
+
+    def _uncovered(self, triangles: DataFrame) -> DataFrame:
         s = F.array_sort(F.array("x", "y", "z"))
-        t = self.triangles.withColumn("a", s[0]).withColumn("b", s[1]).withColumn("c", s[2])
+        t = triangles.withColumn("a", s[0]).withColumn("b", s[1]).withColumn("c", s[2])
         return t.join(self.covered, ["graph", "a", "b", "c"], "left_anti").drop("a", "b", "c")
 
+    @cached_property
+    def edge_cross(self) -> DataFrame:
+        """The edges with t, their cross triangles."""
+        t = graphs.triangle_edges(self.cross).groupBy("graph", "u", "v").agg(F.count(F.lit(1)).alias("t"))
+        return self.edges.join(t, ["graph", "u", "v"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
+
+    @cached_property
+    def edge_difference(self) -> DataFrame:
+        """``edge_cross`` by a second plan, without listing cross triangles: common neighbours less covered ones."""
+        n = graphs.copy_bearing_k3(self.edges)
+        t = F.coalesce("copies", F.lit(0)) - F.col("covn")
+        return self.edge_t.drop("t").join(n, ["graph", "u", "v"], "left").withColumn("t", t).drop("copies")
+
     @cached_property
     def edge_t(self) -> DataFrame:
         """The edges with t (cross triangles) and covn (common neighbours that a hyperedge of the edge holds)."""
-        t = graphs.triangle_edges(self.cross).groupBy("graph", "u", "v").agg(F.count(F.lit(1)).alias("t"))
         c = self.covered.select("graph", F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"))
         c = graphs.triangle_edges(c).groupBy("graph", "u", "v").agg(F.count(F.lit(1)).alias("covn"))
-        e = self.edges.join(t, ["graph", "u", "v"], "left").join(c, ["graph", "u", "v"], "left")
-        return e.withColumn("t", F.coalesce("t", F.lit(0))).withColumn("covn", F.coalesce("covn", F.lit(0)))
+        return self.edge_cross.join(c, ["graph", "u", "v"], "left").withColumn("covn", F.coalesce("covn", F.lit(0)))
 
     @cached_property
     def edge_degrees(self) -> DataFrame:
-        """``edge_t`` with the degrees of both ends."""
+        """``edge_cross`` with the degrees of both ends."""
         d = self.degrees
-        return self.edge_t.join(d.toDF("graph", "u", "du"), ["graph", "u"]).join(d.toDF("graph", "v", "dv"), ["graph", "v"])
+        return self.edge_cross.join(d.toDF("graph", "u", "du"), ["graph", "u"]).join(d.toDF("graph", "v", "dv"), ["graph", "v"])
 
     @cached_property
     def stats(self) -> DataFrame:
-        """graph, m, n_cross, n_triangles."""
-        e = self.edge_t
-        return e.groupBy("graph").agg(F.count(F.lit(1)).alias("m"), F.expr("sum(t) div 3").alias("n_cross"), F.expr("sum(t + covn) div 3").alias("n_triangles"))
+        """graph, m, n_cross, n_triangles.  Covered triples are triangles too, so both kinds are counted where they are listed."""
+        e = self.edges.groupBy("graph").agg(F.count(F.lit(1)).alias("m"))
+        n = self.cross.groupBy("graph").agg(F.count(F.lit(1)).alias("n_cross"))
+        k = self.covered.groupBy("graph").agg(F.count(F.lit(1)).alias("k"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        return e.join(n, "graph", "left").join(k, "graph", "left").select("graph", "m", zero("n_cross").alias("n_cross"), (zero("n_cross") + zero("k")).alias("n_triangles"))
 
     @cached_property
     def copy_edges(self) -> DataFrame:
-        return self.edge_t.filter("t > 0")
+        return self.edge_cross.filter("t > 0")
 
     def sampled_cross(self, max_triples: int, seed: int = 0) -> DataFrame:
         """Cross triangles whose base edge (x, y) is drawn with chance p = min(1, max_triples / #cross), with scale 1/p; the draw is a hash of the edge."""
         p = F.least(F.lit(1.0), F.lit(float(max_triples)) / F.greatest("n_cross", F.lit(1)))
-        t = self.cross.join(self.stats.select("graph", "n_cross"), "graph").withColumn("scale", 1 / p)
         draw = F.pmod(F.xxhash64(F.lit(seed), F.least("x", "y"), F.greatest("x", "y")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        return t.filter(draw < p).drop("n_cross")
+        chance = self.stats.select("graph", p.alias("p"))
+        # base edges are drawn before triangles are listed over them
+        drawn = lambda base: base.join(chance, "graph").filter(draw < F.col("p")).drop("p")
+        t = self._uncovered(graphs.triangles(self.edges, self.degrees, drawn))
+        return t.join(chance, "graph").withColumn("scale", 1 / F.col("p")).drop("p")
+
+    def within_guard(self, **guard) -> Closure:
+        """The graphs whose four-cycles are few enough to be listed."""
+        ok = self.c4_guard(**guard).filter("ok").select("graph")
+        return Closure(cut(self.hyperedges.join(ok, "graph", "left_semi")))
 
     @cached_property
     def c4(self) -> DataFrame:
@@ -164,8 +189,10 @@ class Closure:
         return self.edges.select("graph", "u", "v").join(t, ["graph", "u", "v"], "left").withColumn("t4", F.coalesce("t4", F.lit(0)))
 
     def c4_guard(self, max_c4: int = 15_000_000, max_sumdeg2: float = 5e7, max_n: int = 3500) -> DataFrame:
-        """graph, ok, reason, n_c4: whether the four-cycles are few enough to be listed.  The guards are asked in order; the first that is broken is the reason."""
+        """graph, ok, reason, n_c4: whether the four-cycles are few enough to be listed.  The guards are asked in order; the first that is broken is the reason.
+        Wedges are counted only in graphs that pass the guards on vertices and degrees."""
         d = self.degrees.groupBy("graph").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow("deg", F.lit(2.0))).alias("s"))
-        total = d.join(graphs.c4_total(graphs.codegrees(self.edges)), "graph", "left").withColumn("n_c4", F.coalesce("n_c4", F.lit(0)))
+        cheap = self.edges.join(d.filter((F.col("n") <= max_n) & (F.col("s") <= max_sumdeg2)).select("graph"), "graph", "left_semi")
+        total = d.join(graphs.c4_total(graphs.codegrees(cheap)), "graph", "left").withColumn("n_c4", F.coalesce("n_c4", F.lit(0)))
         reason = F.when(F.col("n") > max_n, "vertices").when(F.col("s") > max_sumdeg2, "sum of squared degrees").when(F.col("n_c4") > max_c4, "four-cycles")
         return total.select("graph", reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"), F.when(reason.isNull() | (reason == "four-cycles"), F.col("n_c4")).alias("n_c4"))

@@ -108,7 +108,7 @@ def transfer(c: Closure, feats: DataFrame, blocks: tuple[str, ...] = ("A", "AB",
             for train, model in models.items():
                 w = (ridge_weights if learner == "ridge" else trees_weights)(model, feats.filter(F.col("graph") != train))
                 p = scores.p_succ(c, w).select(F.col("graph").alias("test"), "p")
-                t = c.edge_t.select("graph", "u", "v", "t").join(w, ["graph", "u", "v"]).groupBy(F.col("graph").alias("test")).agg(correlation(F.log1p("t"), F.log1p("w")).alias("pred_corr"))
+                t = c.edge_cross.select("graph", "u", "v", "t").join(w, ["graph", "u", "v"]).groupBy(F.col("graph").alias("test")).agg(correlation(F.log1p("t"), F.log1p("w")).alias("pred_corr"))
                 gain = F.col("p_p") / F.col("p_u") - 1
                 row = points.join(p, "test").join(t, "test").select(
                     F.lit(train).alias("train"), "test", F.lit(block).alias("block"), F.lit(float(lam)).alias("lam"),

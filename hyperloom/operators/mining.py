@@ -13,13 +13,15 @@ from .hypergraph import Closure
 
 def vertex_scores(c: Closure) -> DataFrame:
     """graph, v, score: cross triangles at each vertex, half the sum of t around it."""
-    return graphs.slots(c.edge_t, "t").groupBy("graph", F.col("x").alias("v")).agg(F.expr("sum(t) div 2").alias("score"))
+    return graphs.slots(c.edge_cross, "t").groupBy("graph", F.col("x").alias("v")).agg(F.expr("sum(t) div 2").alias("score"))
 
 
 def top_share(scores: DataFrame, k: int = 100) -> DataFrame:
     """graph, share of the k highest scores in their sum; ties by vertex."""
     r = F.row_number().over(Window.partitionBy("graph").orderBy(F.col("score").desc(), "v"))
-    return scores.withColumn("r", r).groupBy("graph").agg(ratio(F.sum(F.when(F.col("r") <= k, F.col("score")).otherwise(0)), F.sum("score"), F.lit(0.0)).alias("share"))
+    # a filter on the rank lets each task keep its own k highest, so no group comes together whole
+    top = scores.withColumn("r", r).filter(F.col("r") <= k).groupBy("graph").agg(F.sum("score").alias("top"))
+    return scores.groupBy("graph").agg(F.sum("score").alias("every")).join(top, "graph").select("graph", ratio(F.col("top"), F.col("every"), F.lit(0.0)).alias("share"))
 
 
 def precision_at_k(estimate: DataFrame, exact: DataFrame, k: int = 100) -> DataFrame:
@@ -78,7 +80,7 @@ def features(c: Closure, cores: DataFrame) -> DataFrame:
     """graph, u, v, f1..f13, y, t: degrees and cores (A, 7), memberships and hyperedges of the pair (AB, 12), covered neighbours (ABC, 13); y = log1p(t)."""
     lg = F.log1p
     n = c.incidence.groupBy("graph", "v").agg(F.count(F.lit(1)).alias("k"))
-    e = c.edge_degrees
+    e = c.edge_degrees.join(c.edge_t.select("graph", "u", "v", "covn"), ["graph", "u", "v"])
     for end in ("u", "v"):
         e = e.join(cores.select("graph", F.col("v").alias(end), F.col("core").alias(f"c{end}")), ["graph", end]).join(n.select("graph", F.col("v").alias(end), F.col("k").alias(f"k{end}")), ["graph", end])
     lo, hi = lambda x: lg(F.least(f"{x}u", f"{x}v")), lambda x: lg(F.greatest(f"{x}u", f"{x}v"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import correlation
+from ..functions.lineage import cut
+from ..functions.ranks import positions
 from . import graphs, scores
 from .hypergraph import Closure
 
@@ -105,7 +107,7 @@ def errors(estimates: DataFrame, truth: DataFrame) -> DataFrame:
 
 def numbered_edges(c: Closure) -> DataFrame:
     """The edges with eid, their position by (u, v) in each graph, for shuffles that must repeat NumPy's."""
-    return c.edge_t.withColumn("eid", F.row_number().over(Window.partitionBy("graph").orderBy("u", "v")) - 1)
+    return positions(c.edge_cross, ["graph"], ["u", "v"], "eid")
 
 
 #: Edges and triples up to which a permutation null runs on arrays in one task per few seeds; larger graphs shuffle by joins.
@@ -164,15 +166,20 @@ def permutation_null(c: Closure, graph: str, n_perm: int, seed: int = 0, kind: s
 def permutation_null_joined(c: Closure, n_perm: int, seed: int = 0, kind: str = "path") -> DataFrame:
     """The same null for any size: edges ranked by a hash of the seed take the weights in the order of (u, v); one plan over all seeds."""
     spark = c.hyperedges.sparkSession
-    e = numbered_edges(c).select("graph", "u", "v", "t", "eid")
+    e = numbered_edges(c)
+    if kind == "c4":  # four-cycles are shuffled by their own counts
+        e = e.drop("t").join(c.c4_edge_t.withColumnRenamed("t4", "t"), ["graph", "u", "v"])
+    e = cut(e.select("graph", "u", "v", "t", "eid"))
     seeds = spark.range(seed, seed + n_perm).withColumnRenamed("id", "seed")
-    shuffled = e.join(F.broadcast(seeds))
-    shuffled = shuffled.withColumn("r", F.row_number().over(Window.partitionBy("graph", "seed").orderBy(F.xxhash64("seed", "u", "v"))) - 1)
+    shuffled = positions(e.join(F.broadcast(seeds)).withColumn("h", F.xxhash64("seed", "u", "v")), ["graph", "seed"], ["h", "u", "v"], "r")
     w = shuffled.select("graph", "seed", "u", "v", F.col("r").alias("eid")).join(e.select("graph", "eid", F.col("t").cast("double").alias("w")), ["graph", "eid"])
     # every (graph, seed) is a graph of its own to the scoring plan
     tag = F.concat_ws("#", "graph", "seed")
     w = w.select(tag.alias("graph"), "u", "v", "w")
     tagged = Closure(c.hyperedges.join(F.broadcast(seeds)).withColumn("graph", tag).drop("seed"))
+    # listed once, not once a seed
+    for name in ("c4",) if kind == "c4" else ("cross", "stats"):
+        tagged.__dict__[name] = cut(getattr(c, name)).join(F.broadcast(seeds)).withColumn("graph", tag).drop("seed")
     if kind == "c4":
         p = scores.c4_success(tagged, w)
     elif kind == "path":

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import positions
 from ..functions.scalar import correlation, inf, nan, ratio, samples_for_error
 from . import graphs
 from .hypergraph import Closure
@@ -20,7 +21,7 @@ EPS = 0.1
 def weighting(c: Closure, name: str) -> DataFrame:
     """perfect: t; uniform: 0; mindeg: the smaller degree of the two ends."""
     w = {"perfect": F.col("t"), "uniform": F.lit(0), "mindeg": F.least("du", "dv")}[name]
-    source = c.edge_degrees if name == "mindeg" else c.edge_t if name == "perfect" else c.edges
+    source = c.edge_degrees if name == "mindeg" else c.edge_cross if name == "perfect" else c.edges
     return source.select("graph", "u", "v", w.cast("double").alias("w"))
 
 
@@ -120,8 +121,8 @@ def heavy_storage_cost(c: Closure, eps: float = EPS, points: int = 25) -> DataFr
     raw = F.rint(F.exp(F.log(F.greatest(F.col("m"), F.lit(2)).cast("double")) * F.col("i") / F.lit(points - 1)))
     grid = grid.select("graph", F.least(F.greatest(raw.cast("long"), F.lit(1)), F.col("m")).alias("tau")).distinct()
     taus = grid.groupBy("graph").agg(F.array_sort(F.collect_list("tau")).alias("taus"))
-    rank = F.row_number().over(Window.partitionBy("graph").orderBy(F.col("t").desc(), "u", "v"))
-    e = c.edge_degrees.withColumn("r", rank).join(F.broadcast(taus), "graph")
+    ranked = positions(c.edge_degrees.select("graph", "u", "v", "t", "du", "dv"), ["graph"], [F.col("t").desc(), "u", "v"], "r").withColumn("r", F.col("r") + 1)
+    e = ranked.join(taus, "graph")
     # edges that are still there after the first b taus have been stored
     e = e.withColumn("b", F.size(F.filter("taus", lambda x: x < F.col("r"))))
     t = F.col("t").cast("double")

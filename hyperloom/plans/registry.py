@@ -99,10 +99,10 @@ _both("edge_nhy", "SELECT nhy, count(*) AS n FROM edges GROUP BY nhy", lambda c:
 _both("edge_hstats", "SELECT u, v, nhy, hsum, CAST(hmax AS BIGINT) AS hmax FROM edges", lambda c: c.edges.drop("graph"))
 _both("triangle_count", "SELECT count(*) AS n FROM tri", lambda c: c.triangles.agg(F.count(F.lit(1)).alias("n")))
 _both("cross_triangle_count", "SELECT m, n_cross, n_triangles FROM st", lambda c: c.stats.drop("graph"))
-_both("edge_cross_t", "SELECT u, v, t FROM et", lambda c: c.edge_t.select("u", "v", "t"))
+_both("edge_cross_t", "SELECT u, v, t FROM et", lambda c: c.edge_cross.select("u", "v", "t"))
 _both("edge_covered", "SELECT u, v, covn FROM et", lambda c: c.edge_t.select("u", "v", "covn"))
 _both("cross_triangles", "SELECT x, y, z FROM crs", lambda c: c.cross.select("x", "y", "z"), "minutes")
-_both("top_edges", "SELECT u, v, t FROM et ORDER BY t DESC, u, v LIMIT 100", lambda c: c.edge_t.select("u", "v", "t").orderBy(F.desc("t"), "u", "v").limit(100))
+_both("top_edges", "SELECT u, v, t FROM et ORDER BY t DESC, u, v LIMIT 100", lambda c: c.edge_cross.select("u", "v", "t").orderBy(F.desc("t"), "u", "v").limit(100))
 _SCORES = "vs AS (SELECT x AS v, CAST(sum(t) AS BIGINT) // 2 AS score FROM slots JOIN et USING (u, v) GROUP BY x)\n"
 _both("vertex_scores", "+" + _SCORES + "SELECT v, score FROM vs", lambda c: mining.vertex_scores(c).drop("graph"))
 _both("top100_share", "+" + _SCORES + "SELECT round(sum(CASE WHEN r <= 100 THEN score ELSE 0 END) / sum(score), 9) AS share FROM (SELECT *, row_number() OVER (ORDER BY score DESC, v) AS r FROM vs)", lambda c: mining.top_share(mining.vertex_scores(c)).select(F.round("share", 9).alias("share")))
@@ -191,14 +191,39 @@ _both(
 )
 _both("floor_degree", "SELECT max(least(dx, dy, dz)) AS tau FROM tri", lambda c: graphs.floor_degree(c.triangles).drop("graph"))
 _both("incidence_graph", "SELECT DISTINCT least('v:' || v, 'e:' || hid) AS u, greatest('v:' || v, 'e:' || hid) AS v FROM inc", lambda c: graphs.incidence_graph(c.incidence).drop("graph"))
-_both("gini_t", "SELECT round(sum((2 * r - n - 1) * t) / (any_value(n) * sum(t)), 9) AS gini FROM (SELECT t, row_number() OVER (ORDER BY t) AS r, count(*) OVER () AS n FROM et)", lambda c: mining.gini(c.edge_t, "t").select(F.round("gini", 9).alias("gini")))
-_both("t_spread", "SELECT round(avg(t), 8) AS t_mean, round(stddev_pop(t), 8) AS t_std, round(avg(CASE WHEN t = 0 THEN 1.0 ELSE 0 END), 8) AS frac_zero, round(corr(ln(1 + nhy), ln(1 + t)), 8) AS corr_nhy FROM et", lambda c: c.edge_t.agg(F.round(F.avg("t"), 8).alias("t_mean"), F.round(F.stddev_pop("t"), 8).alias("t_std"), F.round(F.avg((F.col("t") == 0).cast("double")), 8).alias("frac_zero"), F.round(F.corr(F.log1p("nhy"), F.log1p("t")), 8).alias("corr_nhy")))
-_both(
+_both("gini_t", "SELECT round(sum((2 * r - n - 1) * t) / (any_value(n) * sum(t)), 9) AS gini FROM (SELECT t, row_number() OVER (ORDER BY t) AS r, count(*) OVER () AS n FROM et)", lambda c: mining.gini(c.edge_cross, "t").select(F.round("gini", 9).alias("gini")))
+_both("t_spread", "SELECT round(avg(t), 8) AS t_mean, round(stddev_pop(t), 8) AS t_std, round(avg(CASE WHEN t = 0 THEN 1.0 ELSE 0 END), 8) AS frac_zero, round(corr(ln(1 + nhy), ln(1 + t)), 8) AS corr_nhy FROM et", lambda c: c.edge_cross.agg(F.round(F.avg("t"), 8).alias("t_mean"), F.round(F.stddev_pop("t"), 8).alias("t_std"), F.round(F.avg((F.col("t") == 0).cast("double")), 8).alias("frac_zero"), F.round(F.corr(F.log1p("nhy"), F.log1p("t")), 8).alias("corr_nhy")))
+#: Rounds of peeling in SQL, more than the view's cores take; each drops, for every k at once, the vertices with fewer than k neighbours left.
+_PEEL = 150
+_CORES = f"""core_at(it, k, v) AS (SELECT 0, CAST(k AS INTEGER), v FROM deg, range(1, 200) r(k) WHERE deg >= k
+UNION ALL SELECT a.it + 1, a.k, a.v FROM core_at a JOIN slots s ON s.x = a.v JOIN core_at b ON b.k = a.k AND b.v = s.c WHERE a.it < {_PEEL} GROUP BY a.it, a.k, a.v HAVING count(*) >= a.k),
+core AS (SELECT v, max(k) AS core FROM core_at WHERE it = {_PEEL} GROUP BY v)
+"""
+_RECURSIVE = MINUTES.replace("WITH raw", "WITH RECURSIVE raw", 1)
+_F = [f"f{i}" for i in range(1, 14)] + ["y"]
+
+
+@_query("core_numbers", _RECURSIVE + _CORES + "SELECT 'minute_user' AS graph, v, CAST(core AS BIGINT) AS core FROM core")
+def core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cores.core_numbers(tables.closure(spark, sf_dir, "minutes").edges.select("graph", "u", "v")).select("graph", "v", F.col("core").cast("long").alias("core"))
+
+
+@_query(
     "feature_columns",
-    "SELECT u, v, round(ln(1 + least(du, dv)), 9) AS f1, round(ln(1 + greatest(du, dv)), 9) AS f2, round(ln(1 + nhy), 9) AS f10, round(ln(1 + hsum), 9) AS f11, round(ln(1 + hmax), 9) AS f12, round(ln(1 + covn), 9) AS f13, round(ln(1 + t), 9) AS y FROM et",
-    lambda c: _rounded(mining.features(c, c.degrees.select("graph", "v", F.col("deg").alias("core"))).select("u", "v", "f1", "f2", "f10", "f11", "f12", "f13", "y"), {x: 9 for x in ("f1", "f2", "f10", "f11", "f12", "f13", "y")}),
-    "minutes",
+    _RECURSIVE + _CORES.rstrip() + """,
+hk AS (SELECT v, count(*) AS k FROM inc GROUP BY v),
+fe AS (SELECT et.*, a.core AS cu, b.core AS cv, p.k AS ku, q.k AS kv FROM et JOIN core a ON a.v = u JOIN core b ON b.v = et.v JOIN hk p ON p.v = u JOIN hk q ON q.v = et.v),
+fx AS (SELECT u, v, ln(1 + least(du, dv)) AS f1, ln(1 + greatest(du, dv)) AS f2, ln(1 + du) + ln(1 + dv) AS f3, abs(ln(1 + du) - ln(1 + dv)) AS f4, ln(1 + least(cu, cv)) AS f5, ln(1 + greatest(cu, cv)) AS f6, ln(1 + cu) + ln(1 + cv) AS f7,
+  ln(1 + least(ku, kv)) AS f8, ln(1 + greatest(ku, kv)) AS f9, ln(1 + nhy) AS f10, ln(1 + hsum) AS f11, ln(1 + hmax) AS f12, ln(1 + covn) AS f13, ln(1 + t) AS y FROM fe)
+"""
+    + f"SELECT u, v, {_round_sql({x: 9 for x in _F})} FROM fx",
 )
+def feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.closure(spark, sf_dir, "minutes").persisted()
+    feats = mining.features(c, cores.core_numbers(c.edges.select("graph", "u", "v")))
+    return _rounded(feats.select("u", "v", *_F), {x: 9 for x in _F})
+
+
 _both("first_hyperedges", "+top AS (SELECT hid, size FROM hy ORDER BY hid LIMIT 1000)\nSELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS members FROM top", lambda c: reports.first_hyperedges(c.hyperedges, 1000).agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("members")))
 
 
@@ -230,12 +255,116 @@ _plain(
     lambda s: generators.set_disjointness(s, 5, 2, [1, 0, 1], [1, 1, 0]),
 )
 
-# Without SQL: fixpoints, flows, draws and fits. tests/ hold them against known values or another way.
+_plain(
+    "plane_and_butterflies",
+    "WITH e AS (SELECT 'P_' || x || '_' || ((a * x + b) % 7) AS u, 'L_' || a || '_' || b AS v FROM range(7) p(a), range(7) q(b), range(7) r(x) UNION ALL SELECT 'P_' || c || '_' || y, 'V_' || c FROM range(7) s(c), range(7) t(y) "
+    f"UNION ALL SELECT x || '_' || g || '_' || i, 'H_' || g || '_' || t FROM range(130) o(g), range(2) h(t), (SELECT unnest(['G', 'G', 'F']) AS x, unnest([0, 1, -1]) AS k), LATERAL (SELECT CASE WHEN k < 0 THEN t || '_0' ELSE CAST(k AS VARCHAR) END AS i)) {_DEDUP}",
+    lambda s: generators.plane_and_butterflies(s, 7, 130),
+)
 
 
-@_query("core_numbers")
-def core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cores.core_numbers(tables.closure(spark, sf_dir, "minutes").edges.select("graph", "u", "v"))
+def _sql(prefix: str, *parts: str) -> str:
+    """One statement from a closure's common tables and what follows them."""
+    return prefix.rstrip().rstrip(",") + "".join(f",\n{x.strip().rstrip(',')}" for x in parts[:-1]) + "\n" + parts[-1]
+
+
+def _success(prefix: str, name: str, inner: str = "w_xz / d") -> str:
+    return "(" + _sql(prefix, _weighted(name), f"SELECT sum(w_xy * {inner}) / (SELECT sum(w) FROM w) FROM tw") + ")"
+
+
+_STATS = _sql(MINUTES, "SELECT * FROM st")
+_both("cross_second_form", "SELECT u, v, t FROM et", lambda c: c.edge_difference.select("u", "v", "t"))
+_T4 = "t4 AS (SELECT u, v, coalesce(k, 0) + 1.0 AS w FROM edges LEFT JOIN (SELECT e[1] AS u, e[2] AS v, count(*) AS k FROM m4 GROUP BY 1, 2) USING (u, v)), q2 AS (SELECT CASE WHEN f THEN ax ELSE xb END AS e1, CASE WHEN f THEN b_y ELSE ya END AS e2 FROM mt), w4 AS (SELECT a.w AS w1, b.w AS w2 FROM q2 JOIN t4 a ON a.u = e1[1] AND a.v = e1[2] JOIN t4 b ON b.u = e2[1] AND b.v = e2[2])"
+_both(
+    "c4_success_perfect",
+    "+" + _C4.rstrip() + ",\n" + _T4 + "\nSELECT round(sum(w1 * w2) / pow((SELECT sum(w) FROM t4), 2), 10) AS p, round(sum(w1) / ((SELECT sum(w) FROM t4) * (SELECT m FROM st)), 10) AS first FROM w4",
+    lambda c: scores.c4_success(c, _t4(c)).join(scores.c4_success(c, _t4(c), True).withColumnRenamed("p", "first"), "graph").select(F.round("p", 10).alias("p"), F.round("first", 10).alias("first")),
+    "minutes",
+)
+
+
+def _t4(c: Closure) -> DataFrame:
+    return c.c4_edge_t.select("graph", "u", "v", F.col("t4").cast("double").alias("w"))
+
+
+_both(
+    "c4_guard",
+    "+" + _CD.rstrip() + """,
+gd AS (SELECT count(*) AS n, sum(deg * deg) AS s FROM deg), gc AS (SELECT coalesce(CAST(sum(codegree * (codegree - 1) // 2) AS BIGINT) // 2, 0) AS n_c4 FROM cd),
+gr AS (SELECT CASE WHEN n > 3500 THEN 'vertices' WHEN s > 5e7 THEN 'sum of squared degrees' WHEN n_c4 > 15000000 THEN 'four-cycles' END AS r, n_c4 FROM gd, gc)
+SELECT 'minute_user' AS graph, r IS NULL AS ok, coalesce(r, '') AS reason, CASE WHEN r IS NULL OR r = 'four-cycles' THEN n_c4 END AS n_c4 FROM gr""",
+    lambda c: c.c4_guard(),
+    "minutes",
+)
+_CAPS = (200, 400)
+ORACLE_SQL["cap_sensitivity"] = "\nUNION ALL\n".join(
+    "SELECT * FROM (" + _sql(MINUTES.replace("FROM mem GROUP BY members)", f"FROM mem GROUP BY members ORDER BY hid LIMIT {k})"), _weighted("uniform"), f"SELECT 'minute_user' AS graph, CAST({k} AS INTEGER) AS cap, m, n_cross, round((SELECT sum(w_xy * w_xz / d) / (SELECT sum(w) FROM w) FROM tw) / (n_cross / pow(2.0 * m, 1.5)), 9) AS loc_x FROM st") + ")"
+    for k in _CAPS
+)
+QUERIES["cap_sensitivity"] = _over("minutes", lambda c: _rounded(reports.cap_sensitivity(c.hyperedges, list(_CAPS)), {"loc_x": 9}))
+_GAINS = {x: 8 for x in ("copy_density", "loc_x", "perfect_x", "firstedge_x", "perfect_over_loc", "mindeg_over_loc", "mindeg_capture")}
+ORACLE_SQL["gains"] = (
+    f"WITH s AS ({_STATS}), n AS ({_sql(MINUTES, 'SELECT count(*) AS n FROM deg')}), p AS (SELECT {_success(MINUTES, 'uniform')} AS unif, {_success(MINUTES, 'perfect')} AS perf, {_success(MINUTES, 'mindeg')} AS mind, {_success(MINUTES, 'perfect', '1.0 / dx')} AS first), "
+    "r AS (SELECT *, n_cross / pow(2.0 * m, 1.5) AS base FROM s, n, p) SELECT 'minute_user' AS graph, n, m, n_cross, round(n_cross / m, 8) AS copy_density, round(unif / base, 8) AS loc_x, round(perf / base, 8) AS perfect_x, round(first / base, 8) AS firstedge_x, "
+    "round(perf / unif, 8) AS perfect_over_loc, round(mind / unif, 8) AS mindeg_over_loc, round((mind / unif - 1) / (perf / unif - 1), 8) AS mindeg_capture FROM r"
+)
+QUERIES["gains"] = _over("minutes", lambda c: _rounded(reports.gains(c), _GAINS))
+
+
+def _words(view: str, graph: str) -> str:
+    """The comparison of a view's graph, with a statement per method."""
+    prefix = ORDERS if view == "orders" else MINUTES
+    var = "greatest(m2 - CAST(n_cross AS DOUBLE) * n_cross, 0) / pow(0.1 * n_cross, 2)"
+    weighted = lambda w: _sql(prefix, _weighted(w), _M2, f"SELECT {var} FROM m2, st")
+    heavy = ORACLE_SQL["heavy_storage"].removeprefix(ORDERS)
+    each = {
+        "baseline": _sql(prefix, "SELECT (n_cross * pow(2.0 * m, 1.5) - CAST(n_cross AS DOUBLE) * n_cross) / pow(0.1 * n_cross, 2) FROM st"),
+        "wedge": _sql(prefix, "wt AS (SELECT CAST(sum(deg * (deg - 1) // 2) AS BIGINT) AS wedges FROM deg), wp AS (SELECT *, 3.0 * n_cross / wedges AS p FROM wt, st)", "SELECT pow(wedges / 3.0, 2) * p * (1 - p) / pow(0.1 * n_cross, 2) FROM wp"),
+        "localized": weighted("uniform"),
+        "weighted": weighted("perfect"),
+        "edge_local": _sql(prefix, "SELECT var_pop(m * t / 3.0) / pow(0.1 * any_value(n_cross), 2) * avg(du + dv) FROM et, st"),
+        "heavy": "SELECT words FROM (" + prefix + heavy + ")",
+    }
+    columns = ", ".join(f"({q}) AS {k}" for k, q in each.items())
+    least = ", ".join(each)
+    best = " ".join(f"WHEN {k} <= least({least}) THEN '{k}'" for k in each)
+    return f"SELECT '{graph}' AS graph, m, n_cross, {least}, CASE {best} END AS best FROM ({_sql(prefix, 'SELECT m, n_cross FROM st')}), (SELECT {columns})"
+
+
+_METHODS = ("baseline", "wedge", "localized", "weighted", "edge_local", "heavy")
+ORACLE_SQL["comparison"] = f"SELECT graph, m, n_cross, {_round_sql({k: 3 for k in _METHODS})}, best FROM ({_words('orders', 'order_part')})"
+QUERIES["comparison"] = _over("orders", lambda c: _rounded(scores.comparison(c), {k: 3 for k in _METHODS}))
+
+
+@_query("method_wins", f"SELECT best, count(*) AS graphs FROM ({_words('orders', 'order_part')} UNION ALL {_words('minutes', 'minute_user')}) GROUP BY best")
+def method_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [scores.comparison(tables.closure(spark, sf_dir, v)).select("graph", "best") for v in ("orders", "minutes")]
+    return reports.wins(both[0].unionByName(both[1]))
+
+
+# the types' hypergraphs side by side in one, told apart by the last two digits of their numbers
+_TYPES = _hyper("SELECT DISTINCT CAST(floor(epoch(date_trunc('minute', ts)) / 60) AS BIGINT) * 100 + code AS hid, user_id * 100 + code AS v FROM events JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type) AS code FROM events GROUP BY event_type) USING (event_type)")
+_PER_TYPE = (
+    _TYPES.rstrip().rstrip(",") + ",\nnm AS (SELECT event_type AS graph, row_number() OVER (ORDER BY event_type) AS code FROM events GROUP BY event_type), "
+    "rep AS (SELECT graph, count(*) AS m, CAST(sum(t) AS BIGINT) // 3 AS n_cross, CAST(sum(t + covn) AS BIGINT) // 3 AS n_triangles FROM et JOIN nm ON u % 100 = code GROUP BY graph)\n"
+)
+
+
+@_query("graph_stats", _PER_TYPE + "SELECT * FROM rep")
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Closure.of(tables.minutes_by_type(spark, sf_dir)).stats
+
+
+@_query(
+    "domain_summary",
+    _PER_TYPE + "SELECT graph[1] AS domain, count(*) AS graphs, min(m) AS m_min, max(m) AS m_max, round(avg(m), 6) AS m_mean, round(stddev_pop(m), 6) AS m_std, min(n_cross) AS n_cross_min, max(n_cross) AS n_cross_max, round(avg(n_cross), 6) AS n_cross_mean, round(stddev_pop(n_cross), 6) AS n_cross_std FROM rep GROUP BY 1",
+)
+def domain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = Closure.of(tables.minutes_by_type(spark, sf_dir)).stats
+    return _rounded(reports.summary(report, tables.event_domains(spark, sf_dir), ["m", "n_cross"]), {f"{c}_{k}": 6 for c in ("m", "n_cross") for k in ("mean", "std")})
+
+
+# Without SQL: fixpoints, flows, draws and fits. tests/ hold them against known values or another way.
 
 
 QUERIES["oracle_width"] = _over("minutes", lambda c: cores.oracle_width(c.copy_edges))
@@ -243,15 +372,12 @@ QUERIES["diagnostic"] = _over("minutes", reports.diagnostic)
 QUERIES["evaluate"] = _over("minutes", lambda c: reports.evaluate(c, ["minute_user"], 20))
 QUERIES["evaluate_c4"] = _over("minutes", lambda c: reports.evaluate_c4(c, ["minute_user"], 20))
 QUERIES["wedge_report"] = _over("minutes", lambda c: reports.wedge_report(c, ["minute_user"], 20))
-QUERIES["comparison"] = _over("orders", scores.comparison)
 QUERIES["simulation"] = _over("minutes", lambda c: reports.simulation(c, [2000], 5))
 QUERIES["simulated_profile"] = _over("minutes", lambda c: sampling.simulate_profile(c, scores.weighting(c, "perfect"), 2000, 5))
 QUERIES["monte_carlo_check"] = _over("minutes", lambda c: sampling.monte_carlo_check(c, scores.weighting(c, "perfect"), 20000))
 QUERIES["ranking"] = _over("minutes", lambda c: reports.ranking(c, [2000], 2))
 QUERIES["triple_sensitivity"] = _over("minutes", lambda c: reports.triple_sensitivity(c, [10_000, 100]))
-QUERIES["cap_sensitivity"] = _over("minutes", lambda c: reports.cap_sensitivity(c.hyperedges, [200, 400]))
 QUERIES["feature_diagnosis"] = _over("minutes", lambda c: mining.feature_diagnosis(c, mining.features(c, cores.core_numbers(c.edges.select("graph", "u", "v")))))
-QUERIES["c4_guard"] = _over("minutes", lambda c: c.c4_guard())
 
 
 @_query("ridge_weights")

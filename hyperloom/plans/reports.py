@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cores, learning, mining, sampling, scores
 from ..operators.hypergraph import Closure, first_hyperedges
 from ..sources import generators
-from ..functions.scalar import ratio
+from ..functions.scalar import nan_mean, ratio
 
 
 def diagnostic(c: Closure, exact: bool = True) -> DataFrame:
@@ -55,15 +55,41 @@ def evaluate(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0
     )
 
 
-def evaluate_c4(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0) -> DataFrame:
+def gains(c: Closure) -> DataFrame:
+    """The columns of ``evaluate`` that need no shuffle: graph, n, m, n_cross, copy_density, and the three scores and ratios."""
     c = c.persisted()
+    n = c.degrees.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+    d = points(c).join(scores.p_base(c).select("graph", F.col("p").alias("p_base")), "graph").join(c.stats, "graph").join(n, "graph")
+    perfect, mindeg = ratio(F.col("perf"), F.col("unif")), ratio(F.col("mind"), F.col("unif"))
+    return d.select(
+        "graph", "n", "m", "n_cross", (F.col("n_cross") / F.greatest("m", F.lit(1))).alias("copy_density"), ratio(F.col("unif"), F.col("p_base")).alias("loc_x"), ratio(F.col("perf"), F.col("p_base")).alias("perfect_x"),
+        ratio(F.col("first"), F.col("p_base")).alias("firstedge_x"), perfect.alias("perfect_over_loc"), mindeg.alias("mindeg_over_loc"), F.when(F.abs(perfect - 1) > 1e-12, (mindeg - 1) / (perfect - 1)).otherwise(F.lit(float("nan"))).alias("mindeg_capture"),
+    )
+
+
+def summary(report: DataFrame, domains: DataFrame, columns: list[str]) -> DataFrame:
+    """domain, graphs, and the least, largest and mean value and the standard deviation of each column of a report with a row per graph; ``domains``
+    has graph and domain."""
+    per = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))]
+    return report.join(domains.select("graph", "domain"), "graph").groupBy("domain").agg(F.count(F.lit(1)).alias("graphs"), *per)
+
+
+def wins(comparison: DataFrame) -> DataFrame:
+    """best, graphs: how many graphs each method is the cheapest for."""
+    return comparison.groupBy("best").agg(F.count(F.lit(1)).alias("graphs"))
+
+
+def evaluate_c4(c: Closure, graph_names: list[str], n_perm: int = 50, seed: int = 0) -> DataFrame:
+    """The split of the gain for four-cycles, for the graphs that pass the guard; no four-cycle of another graph is listed."""
+    c = c.within_guard().persisted()
     pts = points(c, "c4")
     nulls = None
     for g in graph_names:
         n = sampling.permutation_null(c, g, n_perm, seed, "c4")
         nulls = n if nulls is None else nulls.unionByName(n)
     n_cross = c.c4.groupBy("graph").agg(F.count(F.lit(1)).alias("n_cross"))
-    split = scores.split_report(pts, nulls, "unif").join(n_cross, "graph").join(c.c4_guard(), "graph")
+    m = c.edges.groupBy("graph").agg(F.count(F.lit(1)).alias("m"))
+    split = scores.split_report(pts, nulls, "unif").join(n_cross, "graph").join(m, "graph").withColumn("copy_density", F.col("n_cross") / F.col("m")).join(c.c4_guard(), "graph")
     return split.join(pts.select("graph", F.try_divide("first", "unif").alias("firstedge_over_unif")), "graph")
 
 
@@ -179,6 +205,6 @@ def transfer_summary(c: Closure, blocks=("A", "ABC"), lams=(0.1, 1.0), learner:
     c = c.persisted()
     feats = mining.features(c, cores.core_numbers(c.edges.select("graph", "u", "v")))
     pairs = learning.transfer(c, feats, blocks, lams, learner, **kw)
-    return pairs.groupBy("block", "lam").agg(F.avg(F.nanvl("capture", F.lit(None).cast("double"))).alias("mean_capture"), F.count(F.lit(1)).alias("pairs"))
+    return pairs.groupBy("block", "lam").agg(nan_mean(F.col("capture")).alias("mean_capture"), F.count(F.lit(1)).alias("pairs"))
 
 

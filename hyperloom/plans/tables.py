@@ -29,3 +29,14 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def closure(spark: SparkSession, sf_dir: str, view: str = "orders", max_size: int = 25) -> Closure:
     return Closure.of((orders_of_parts if view == "orders" else minutes_of_users)(spark, sf_dir), max_size)
+
+
+def minutes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hypergraph per event type: hyperedges are minutes, members the users with such an event in them."""
+    ts = F.date_trunc("minute", "ts")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("graph"), F.floor(F.unix_timestamp(ts) / 60).alias("hid"), F.col("user_id").alias("v"))
+
+
+def event_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph, domain: event types by their first letter, as a dimension that reports are joined with."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("graph")).distinct().withColumn("domain", F.substring("graph", 1, 1))

@@ -19,34 +19,49 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(~value.startswith("#") & (F.trim(F.regexp_replace(value, r"\s+", " ")) != ""))
 
 
+def _before(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``amount`` over the groups of rows that come before, for a small table of one row per group."""
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(amount).over(w), F.lit(0)))
+
+
 def _numbered(df: DataFrame) -> DataFrame:
-    """Adds ``pos``, the line number from 0.  Blocks of the file are numbered each for itself; their counts, one row per block, give the bases."""
-    df = df.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_seq", F.monotonically_increasing_id())
-    counts = df.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy("_seq")) - 1
-    return df.withColumn("_in", inside).join(base, "_block").withColumn("pos", F.col("_in") + F.col("_base")).drop("_block", "_seq", "_in", "_base")
+    """Adds ``pos``, the line number from 0, over all files in the order of their paths.  Blocks of a file are numbered each for itself; their
+    counts, one row per block, give the bases."""
+    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_seq", F.monotonically_increasing_id())
+    counts = df.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    base = _before(counts, ["_file", "_block"], "_n", "_base").drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_seq")) - 1
+    return df.withColumn("_in", inside).join(base, ["_file", "_block"]).withColumn("pos", F.col("_in") + F.col("_base")).drop("_file", "_block", "_seq", "_in", "_base")
+
+
+#: Lines whose amounts are summed up in one window.
+_LINES = 65536
+
+
+def _starts(lines: DataFrame, amount: str) -> DataFrame:
+    """Adds ``start``: the sum of ``amount`` over the lines before, by blocks of lines."""
+    lines = lines.withColumn("_b", F.floor(F.col("pos") / _LINES))
+    base = _before(lines.groupBy("_b").agg(F.sum(amount).alias("_n")), ["_b"], "_n", "_base").drop("_n")
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.withColumn("_in", inside).join(base, "_b").withColumn("start", F.col("_in") + F.col("_base")).drop("_b", "_in", "_base")
 
 
-def _tokens(df: DataFrame) -> DataFrame:
-    """(block, seq, k) order kept as one position per token of a whitespace-separated stream."""
-    rows = _numbered(df).select(F.col("pos").alias("line"), F.array_remove(F.split("value", r"\s+"), "").alias("t"))
-    return rows.select("line", F.posexplode("t").alias("k", "token"))
+def _numbers(spark: SparkSession, path: str) -> DataFrame:
+    """pos, n: the whole numbers of a file, white space between them, on however many lines; pos counts from 0."""
+    text = _numbered(spark.read.text(path).filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != ""))
+    text = text.select("pos", F.array_remove(F.split("value", r"\s+"), "").alias("t")).withColumn("k", F.size("t"))
+    return _starts(text, "k").select("start", F.posexplode("t").alias("i", "token")).select((F.col("start") + F.col("i")).alias("pos"), F.col("token").cast("bigint").alias("n"))
 
 
 def read_simplices(spark: SparkSession, sizes_path: str, ids_path: str, graph: str) -> DataFrame:
-    """Incidence rows of a collection in two files: one hyperedge size per line, and all vertex ids one after the other.
+    """Incidence rows of a collection in two files: hyperedge sizes, and all vertex ids one after the other; any white space stands between numbers.
 
     A hyperedge's positions are a sequence that starts where its predecessors' sizes end; ids meet them in an equi-join.
     """
-    sizes = _numbered(spark.read.text(sizes_path).filter(F.trim("value") != "").withColumn("size", F.trim("value").cast("bigint")))
-    block = F.floor(F.col("pos") / 65536)
-    totals = sizes.groupBy(block.alias("b")).agg(F.sum("size").alias("n"))
-    base = totals.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("b", block).withColumn("inside", inside).join(base, "b").filter("size > 0")
-    at = starts.select(F.col("pos").alias("hid"), F.explode(F.sequence(F.col("base") + F.col("inside"), F.col("base") + F.col("inside") + F.col("size") - 1)).alias("pos"))
-    ids = _numbered(spark.read.text(ids_path).filter(F.trim("value") != "")).select("pos", F.trim("value").cast("bigint").alias("v"))
+    sizes = _starts(_numbers(spark, sizes_path), "n").filter("n > 0")
+    at = sizes.select(F.col("pos").alias("hid"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"))
+    ids = _numbers(spark, ids_path).select("pos", F.col("n").alias("v"))
     return at.join(ids, "pos").select(F.lit(graph).alias("graph"), "hid", "v")
 
 
@@ -64,10 +79,10 @@ def read_edge_list(spark: SparkSession, path: str, graph: str) -> DataFrame:
 
 
 def read_temporal(spark: SparkSession, path: str, graph: str) -> DataFrame:
-    """graph, ts, u, v from lines ``u v t``, t in epoch seconds; lines with fewer tokens go.  Rows are ordered by those who ask for it."""
+    """graph, ts, u, v from lines ``u v t``, t in epoch seconds, sorted by (t, u, v); lines with fewer tokens go."""
     t = F.array_remove(F.split("value", r"\s+"), "")
     rows = _lines(spark, path).select(t.alias("t")).filter(F.size("t") >= 3)
-    return rows.select(F.lit(graph).alias("graph"), F.col("t")[2].cast("bigint").alias("ts"), F.col("t")[0].cast("bigint").alias("u"), F.col("t")[1].cast("bigint").alias("v"))
+    return rows.select(F.lit(graph).alias("graph"), F.col("t")[2].cast("bigint").alias("ts"), F.col("t")[0].cast("bigint").alias("u"), F.col("t")[1].cast("bigint").alias("v")).orderBy("ts", "u", "v")
 
 
 def read_hif(spark: SparkSession, path: str, graph: str) -> DataFrame:

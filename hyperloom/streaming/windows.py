@@ -1,6 +1,7 @@
 """Structured Streaming over timestamped hyperedges: pair multiplicities and sizes per event-time window, with a watermark for late rows.
 
-The batch operators need whole windows; ``closures`` hands every finished window's hyperedges to them.
+The batch operators need whole windows: a window's hyperedges are kept as state until the watermark passes its end; then ``closures`` hands
+them over, once.
 """
 
 from __future__ import annotations
@@ -34,9 +35,14 @@ def window_sizes(stream: DataFrame) -> DataFrame:
 
 
 def closures(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs ``sink(statistics, batch)`` on the closure statistics of each micro-batch's windows (graph, m, n_cross, n_triangles)."""
+    """Runs ``sink(statistics, batch)`` on the closure statistics (graph, m, n_cross, n_triangles) of the windows that a micro-batch has finished.
+
+    Windows that the watermark has not passed when the stream stops stay in the checkpoint's state for the next run.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
-        sink(Closure(df.select("graph", "hid", "members", "size").groupBy("graph", "members", "size").agg(F.min("hid").alias("hid"))).stats, n)
+        rows = df.select("graph", F.inline("held"))
+        sink(Closure(rows.groupBy("graph", "members", "size").agg(F.min("hid").alias("hid"))).stats, n)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    whole = stream.groupBy("win", "graph").agg(F.collect_list(F.struct("hid", "members", "size")).alias("held"))
+    return whole.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

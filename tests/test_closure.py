@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hyperloom.functions.scalar import correlation
 from hyperloom.operators import cores, graphs, mining, sampling, scores
 from hyperloom.operators.hypergraph import Closure
+from hyperloom.plans import reports
 
 TINY = [(1, 2, 3), (3, 4), (2, 4), (4, 5), (1, 5)]
 
@@ -161,3 +163,62 @@ def test_sampled_triples_scale(spark):
     assert c.sampled_cross(10**9).count() == c.cross.count()
     s = c.sampled_cross(5)
     assert s.count() <= c.cross.count() and s.agg(F.min("scale")).first()[0] >= 1
+
+
+@pytest.mark.parametrize("kind", ["path", "wedge", "c4"])
+def test_joined_null_has_the_distribution_of_the_array_form(spark, kind):
+    c = Closure.of(frame(spark, random_hyperedges(5, 14, 22))).persisted()
+    array = [r.perm for r in sampling.permutation_null(c, "g", 60, kind=kind).collect()]
+    joined = [r.perm for r in sampling.permutation_null_joined(c, 60, kind=kind).collect()]
+    spread = np.std(array) / np.sqrt(60) + np.std(joined) / np.sqrt(60)
+    assert len(joined) == 60 and abs(np.mean(array) - np.mean(joined)) < 5 * spread + 1e-12
+    # the identity shuffle: every edge keeps its own weight, so the scores are those of the perfect weights
+    one = Closure.of(frame(spark, [(1, 2), (2, 3), (1, 3)]))
+    assert {round(r.perm, 9) for r in sampling.permutation_null_joined(one, 3, kind="path").collect()} == {round(scores.p_succ(one, scores.weighting(one, "perfect")).first().p, 9)}
+
+
+def test_positions_in_hot_groups(spark):
+    from hyperloom.functions.ranks import positions
+
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"), F.xxhash64("id").alias("h"), "id").repartition(5)
+    got = positions(df, ["g"], [F.col("h").desc(), "id"], "r").collect()
+    for g in {q.g for q in got}:
+        part = sorted((q for q in got if q.g == g), key=lambda q: (-q.h, q.id))
+        assert [q.r for q in part] == list(range(len(part)))
+
+
+def test_second_formulation(spark):
+    c = Closure.of(frame(spark, random_hyperedges(9, 15, 25)))
+    pick = lambda df: sorted((r.u, r.v, r.t) for r in df.select("u", "v", "t").collect())
+    assert pick(c.edge_difference) == pick(c.edge_cross)
+
+
+def test_sampled_triples_are_the_drawn_edges(spark):
+    c = Closure.of(frame(spark, random_hyperedges(7, 16, 24))).persisted()
+    key = lambda r: (min(r.x, r.y), max(r.x, r.y))
+    some = c.sampled_cross(10).collect()
+    drawn = {key(r) for r in some}
+    assert some and sorted((r.x, r.y, r.z) for r in some) == sorted((r.x, r.y, r.z) for r in c.cross.collect() if key(r) in drawn)
+
+
+def test_guard_comes_before_listing(spark):
+    two = frame(spark, random_hyperedges(3, 8, 10), "small").unionByName(frame(spark, random_hyperedges(4, 20, 40), "large"))
+    c = Closure.of(two)
+    n = {r.graph: r.n for r in c.degrees.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).collect()}
+    guard = {r.graph: r for r in c.c4_guard(max_n=n["small"]).collect()}
+    assert guard["small"].ok and guard["large"].reason == "vertices" and guard["large"].n_c4 is None
+    left = c.within_guard(max_n=n["small"])
+    assert {r.graph for r in left.hyperedges.select("graph").distinct().collect()} == {"small"}
+
+
+def test_report_helpers(spark):
+    r = spark.createDataFrame([("a", 1, "x"), ("b", 3, "x"), ("c", 5, "y")], "graph string, m int, best string")
+    d = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "graph string, domain string")
+    got = {q.domain: (q.graphs, q.m_min, q.m_max, q.m_mean, q.m_std) for q in reports.summary(r, d, ["m"]).collect()}
+    assert got == {"p": (2, 1, 3, 2.0, 1.0), "q": (1, 5, 5, 5.0, 0.0)}
+    assert {q.best: q.graphs for q in reports.wins(r).collect()} == {"x": 2, "y": 1}
+
+
+def test_correlation_without_spread(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    assert df.agg(correlation("a", "b")).first()[0] == 0.0

@@ -119,4 +119,38 @@ def test_streaming(spark, tmp_path):
     assert got.get((1, 2)) == 2 and got.get((1, 3)) == 1
     seen = []
     windows.closures(stream, lambda d, n: seen.extend(d.collect()), str(tmp_path / "c2")).awaitTermination()
-    assert {r.graph: r.m for r in seen} == {"2024-01-01 00:00:00": 3, "2024-01-01 02:00:00": 1}
+    assert {r.graph: r.m for r in seen} == {"2024-01-01 00:00:00": 3}  # the window from 02:00 on is still open
+
+
+def test_a_window_is_handed_over_once(spark, tmp_path):
+    """A window whose hyperedges come in several micro-batches is counted whole, when the watermark has passed it."""
+    kind = "ts string, hid long, members array<bigint>"
+    parts = [[("2024-01-01 00:05:00", 1, [1, 2, 3])], [("2024-01-01 00:40:00", 2, [1, 4])], [("2024-01-01 03:00:00", 3, [8, 9])], [("2024-01-01 09:00:00", 4, [8, 9])]]
+    seen = []
+    schema = spark.createDataFrame(parts[0], kind).select(F.to_timestamp("ts").alias("ts"), "hid", "members").schema
+    for i, rows in enumerate(parts):  # each run of the stream is a micro-batch
+        spark.createDataFrame(rows, kind).select(F.to_timestamp("ts").alias("ts"), "hid", "members").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = windows.hyperedge_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        windows.closures(stream, lambda d, n: seen.extend(d.collect()), str(tmp_path / "c")).awaitTermination()
+        assert i >= 2 or not seen
+    assert sorted((r.graph, r.m) for r in seen) == [("2024-01-01 00:00:00", 4), ("2024-01-01 03:00:00", 1)]
+
+
+def test_numbers_and_folders(spark, tmp_path):
+    """Several numbers a line, and files of a folder in the order of their names."""
+    (tmp_path / "sizes").mkdir()
+    (tmp_path / "sizes" / "b.txt").write_text("2\n\n 1 3\n")
+    (tmp_path / "sizes" / "a.txt").write_text("2 3\n")
+    (tmp_path / "ids.txt").write_text("1 2 3\n4\t5\n\n6 7\n8\n9 10 11\n")
+    got = readers.read_simplices(spark, str(tmp_path / "sizes"), str(tmp_path / "ids.txt"), "g")
+    sets = {}
+    for r in got.collect():
+        sets.setdefault(r.hid, set()).add(r.v)
+    assert sets == {0: {1, 2}, 1: {3, 4, 5}, 2: {6, 7}, 3: {8}, 4: {9, 10, 11}}
+    (tmp_path / "many").mkdir()
+    for name, n in (("a.txt", 1), ("b.txt", 5), ("c.txt", 2)):
+        (tmp_path / "many" / name).write_text("".join(f"{name[0]}{i} x\n" for i in range(n)))
+    lines = readers.read_edge_list(spark, str(tmp_path / "many"), "g").orderBy("pos").collect()
+    assert [r.u for r in lines] == ["a0", "b0", "b1", "b2", "b3", "b4", "c0", "c1"] and [r.pos for r in lines] == list(range(8))
+    (tmp_path / "t.txt").write_text("5 1 30\n2 9 10\n2 3 10\nshort\n")
+    assert [(r.ts, r.u, r.v) for r in readers.read_temporal(spark, str(tmp_path / "t.txt"), "g").collect()] == [(10, 2, 3), (10, 2, 9), (30, 5, 1)]
