@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lm_score import LEAST, STRENGTH
 from .quality import MARKS, MAX_REPEATED, MIN_WORDS, RULES, STOP_WORDS, WINDOW
 
 _stops = sorted({v for w in " ".join(STOP_WORDS.values()).split() for v in (w, w.capitalize())})
@@ -68,4 +69,21 @@ both_ways AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.l
 {_REACH.format(id="vec_id", nodes="raw")}
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least_of LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM both_ways GROUP BY x) USING (vec_id)
 """
-ORACLE_SQL = {"op2_embedding_dedup": VECTORS, "op3_quality_rules": QUALITY, "op8_ngram_jaccard": JACCARD, "op10_substring_dedup": REPEATS}
+#: CRC-32 of a text, from a table that the rule of its polynomial gives.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+# the end of a text, which opens it too, is a space, which no word is
+LM = f"""
+WITH tab AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 7 = 2 AS held, list_concat([' '], {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, [' ']) AS w FROM documents, tab),
+tk AS (SELECT r, held, w[p] AS x, w[p - 1] AS b, CASE WHEN p > 2 THEN w[p - 2] END AS a FROM (SELECT *, unnest(range(2, len(w) + 1)) AS p FROM d)),
+tr AS (SELECT * FROM tk WHERE NOT held),
+n1 AS (SELECT x, count(*) AS c FROM tr GROUP BY x), n2 AS (SELECT b, x, count(*) AS c FROM tr GROUP BY b, x), n3 AS (SELECT a, b, x, count(*) AS c FROM tr WHERE a IS NOT NULL GROUP BY a, b, x),
+s AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM n1),
+p1 AS (SELECT tk.*, coalesce(n1.c, 0) AS c1, (coalesce(n1.c, 0) + 1) / (n + v + 1) AS p1, n FROM tk LEFT JOIN n1 USING (x), s),
+p2 AS (SELECT p1.*, (coalesce(n2.c, 0) + {STRENGTH} * p1) / (coalesce(h.c, 0) + {STRENGTH}) AS p2 FROM p1 LEFT JOIN n2 ON n2.b = p1.b AND n2.x = p1.x LEFT JOIN n1 h ON h.x = p1.b),
+p3 AS (SELECT p2.*, CASE WHEN g.c >= {LEAST} THEN (coalesce(n3.c, 0) + {STRENGTH} * p2) / (g.c + {STRENGTH}) ELSE p2 END AS p3 FROM p2 LEFT JOIN n3 ON n3.a = p2.a AND n3.b = p2.b AND n3.x = p2.x LEFT JOIN n2 g ON g.b = p2.a AND g.x = p2.b)
+SELECT any_value(doc_id) AS doc_id, coalesce(any_value(d.held), false) AS held_out, count(*) AS n_tokens, count(*) FILTER (c1 > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+  round(sum(log10(p1)), 8) AS base_score, round(sum(log10(p3)), 8) AS score FROM p3 JOIN d USING (r) GROUP BY r
+"""
+ORACLE_SQL = {"op5_lm_scores": LM, "op2_embedding_dedup": VECTORS, "op3_quality_rules": QUALITY, "op8_ngram_jaccard": JACCARD, "op10_substring_dedup": REPEATS}

@@ -79,7 +79,7 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     scores = score_texts(docs, _crc(7) != 2)
-    return scores.select("doc_id", F.coalesce(_crc(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", F.coalesce(_crc(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 8).alias("base_score"), F.round("score", 8).alias("score"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
