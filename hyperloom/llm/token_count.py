@@ -29,7 +29,7 @@ PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]+")
 WORD = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
 STANDARD = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Entries of a worker's memory for words, pieces, prefixes and pairs; what was not asked for lately is forgotten, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Letters of the longest words whose prefixes are remembered.
 SHARED = 48
 _inf = math.inf
