@@ -26,8 +26,9 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Members of a prefix shingle's group up to which its central member alone leads; larger groups draw a second leader per shingle.
 SMALL_GROUP = 16
-#: Members of a block, in which the pairs of a component are tested, and columns of the blocks' products taken at once.
-BLOCK, COLUMNS = 128, 4096
+#: Members and bytes of sets in a block, in which the pairs of a component are tested, and columns of the blocks' products taken at once.
+#: A member is sent once for each block of its component; blocks of very long sets have fewer members.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 2 << 20, 4096
 #: Pairs that a set is sent for at once, bytes of sets in a group of them, and members of a prefix shingle that meet in one group.
 LOT, GROUP_BYTES, MEETING = 256, 4 << 20, 512
 
@@ -228,14 +229,15 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
 def links_inside(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """row, n_links, others: every link between the representatives ``sets`` (row, grams) of a component.
 
-    ``members``: row, component, rows (in the class) for each representative in a component.  A link stands in ``others`` of one of its ends and in
+    ``members``: row, component, rows (in the class), n (shingles) for each representative in a component.  A link stands in ``others`` of one of its ends and in
     ``n_links``, in rows of the linked class, of both; a representative may have several rows of this table.  Components of more than
     ``BLOCK`` members are dealt over blocks, a group for each pair of blocks; smaller ones share groups.
     """
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    m = members.join(size, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    room = F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES) / (8 * F.avg("n")))))
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), room.alias("room")).filter("m > 1")
+    m = members.join(size, "component").withColumn("blocks", F.ceil(F.col("m") / F.col("room")).cast("int"))
     large = F.col("blocks") > 1
-    total = size.agg(F.coalesce(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.lit(0)).alias("n")).first()["n"]
+    total = size.agg(F.coalesce(F.sum(F.when(F.col("m") <= F.col("room"), F.col("m"))), F.lit(0)).alias("n")).first()["n"]
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     m = m.withColumn("own", F.when(large, own).otherwise(-1)).withColumn("g", F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(total // BLOCK + 1))))
     m = m.withColumn("other", F.explode(F.when(large, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))))
@@ -276,7 +278,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     every, able, classes, sets, parts = _connected(docs, k, percent)
     same = ["n", "d1", "d2"]
     reps = classes.select(*same, F.col("rep.row").alias("row"), F.col("rep.doc_id").alias("node"), F.col("members").alias("rows"))
-    inside = links_inside(sets, reps.join(parts, "node").select("row", "component", "rows"), percent)
+    inside = links_inside(sets, reps.join(parts, "node").select("row", "component", "rows", "n"), percent)
     more = inside.groupBy("row").agg(F.sum("n_links").alias("more"))
     member = reps.join(more, "row", "left").join(parts, "node", "left").select(*same, F.coalesce("component", "node").alias("component"), (F.coalesce("more", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
