@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import chunked, cuts, groups_of, hash_bits, pack, pack_sorted, plan_sizes, stable_order, unpack, unpack_sorted, volume
 from ._rank import join_hot
-from ._scratch import forget, written
+from ._scratch import bucketed, forget, written
 from ._text import Words, gram_hash, mix, windows
 from .components import components
 
@@ -307,7 +307,7 @@ def _connected(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
     # one representative per class of equal sets, the one with the smallest doc_id
     classes = written(able.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     reps = classes.select(F.col("rep.row").alias("row"))
-    sets = written(able.join(reps, "row", "left_semi"), "sets-of-classes")
+    sets = bucketed(able.join(reps, "row", "left_semi"), "sets-of-classes", "row")
     p = prefixes(sets, percent)
     draw = F.xxhash64("gram", "row")
     # the member with the fewest shingles of its own leads: in a group of near copies, what they were copied from
