@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -98,7 +99,7 @@ def test_memory_forgets_nothing_needed(monkeypatch, library):
     texts = [f"word{i % 17} other{i % 13} the thing" for i in range(100)]
     assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == [library(t) for t in texts]
     assert [c.count(t) for t in texts] == [len(library(t)) for t in texts]
-    assert len(e.words) <= 5 and len(e.words.older) <= 5
+    assert len(e.words) <= 5 and len(c.plain_words) <= 5 and len(c.plain_words.older) <= 5
 
 
 def _rows_scanned(found) -> tuple[int, int]:
@@ -137,3 +138,18 @@ def test_empty_table_reads_back(spark, tmp_path):
     path = str(tmp_path / "none")
     tf.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, PATH, end_id=2)
     assert tf.digests(spark, path).count() == 0 and tf.read_token_files(spark, path).count() == 0
+
+
+def test_blocks_and_memory_change_nothing(library, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        e = tf.PieceEncoder(f.read())
+    r = random.Random(7)
+    plain = [p for p in PARTS if tc.PLAIN.fullmatch(p) and not p.startswith("<|")] + ["ve", "s", "t", "\x0b", "÷", "ſ", ","]
+    texts = ["".join(r.choice(plain) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["x" * 300 + " y", " " * 300]
+    want = [library(s) for s in texts]
+    for block, words in ((4 << 20, 600_000), (40, 600_000), (4 << 20, 40), (1, 1)):
+        monkeypatch.setattr(tf, "BLOCK_BYTES", block)
+        monkeypatch.setattr(tc, "REMEMBERED", words)
+        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == want
+    ids, sizes = e.encode_column(pa.array(["skipped", "a b", None, "c"]).slice(1))
+    assert sizes.tolist() == [2, 0, 1] and ids.tolist() == library("a b") + library("c")
