@@ -33,3 +33,6 @@ def same_as_sql(spark, name, sf_dir, *tables):
 def test_guard_without_hyperedges(spark, crowded):
     assert same_as_sql(spark, "c4_guard", crowded, "events") == [("minute_user", 0, True, "")]
 
+
+def test_caps_without_hyperedges(spark, crowded):
+    assert len(same_as_sql(spark, "cap_sensitivity", crowded, "events")) == 2
