@@ -1,10 +1,13 @@
 """Queries on inputs that the driver's small tables do not have: no hyperedge of a fitting size, vertices dealt over many blocks."""
 
 import datetime
+import random
 
 import duckdb
 import pytest
 
+from hyperloom.operators import blocks, graphs
+from hyperloom.operators.hypergraph import Closure
 from hyperloom.plans import registry
 
 START = datetime.datetime(2024, 1, 1)
@@ -36,3 +39,33 @@ def test_guard_without_hyperedges(spark, crowded):
 
 def test_caps_without_hyperedges(spark, crowded):
     assert len(same_as_sql(spark, "cap_sensitivity", crowded, "events")) == 2
+
+
+def random_incidence(spark):
+    r = random.Random(5)
+    rows = [(g, i, v * 7 + 3) for g in ("a", "b") for i in range(90) for v in r.sample(range(26), r.randint(1, 6))]
+    return spark.createDataFrame(rows, "graph string, hid long, v long")
+
+
+@pytest.mark.parametrize("pairs", [10, 120, 10**9])
+def test_blocks_find_what_joins_find(spark, monkeypatch, pairs):
+    """Many small blocks, some and one, chunks of few wedges: the triangles and counts of the plain joins."""
+    monkeypatch.setattr(blocks, "PAIRS", pairs)
+    monkeypatch.setattr(blocks, "WEDGES", 7)
+    monkeypatch.setattr(blocks, "CELLS", 60)
+    inc = random_incidence(spark)
+    c, plain = Closure.of(inc), Closure.of(inc)
+    assert (len(c.blocks.bounds) == 0) == (pairs == 10**9)
+    tri = graphs.triangles(plain.edges, plain.degrees)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(c.triangles) == rows(tri.select(c.triangles.columns))
+    free = plain._uncovered(tri)
+    assert rows(c.cross) == rows(free.select(c.cross.columns))
+    t = {r[:3]: r[3] for r in rows(graphs.triangle_edges(free).groupBy("graph", "u", "v").count())}
+    every = {r[:3]: r[3] for r in rows(graphs.copy_bearing_k3(plain.edges))}
+    held = graphs.triangle_edges(plain.covered.toDF("graph", "x", "y", "z"))
+    covn = {r[:3]: r[3] for r in rows(held.groupBy("graph", "u", "v").count())}
+    deg = {r[:2]: r[2] for r in rows(plain.degrees)}
+    assert rows(c.blocks.degrees) == sorted((*k, d) for k, d in deg.items())
+    want = [(g, u, v, *rest, t.get((g, u, v), 0), covn.get((g, u, v), 0), every.get((g, u, v), 0), deg[g, u], deg[g, v]) for g, u, v, *rest in rows(plain.edges)]
+    assert rows(c.edge_table) == want and len(t) > 100
