@@ -69,3 +69,9 @@ def test_blocks_find_what_joins_find(spark, monkeypatch, pairs):
     assert rows(c.blocks.degrees) == sorted((*k, d) for k, d in deg.items())
     want = [(g, u, v, *rest, t.get((g, u, v), 0), covn.get((g, u, v), 0), every.get((g, u, v), 0), deg[g, u], deg[g, v]) for g, u, v, *rest in rows(plain.edges)]
     assert rows(c.edge_table) == want and len(t) > 100
+
+
+def test_triple_sensitivity_has_a_short_plan(spark):
+    """The closure's tables are read, not planned anew for each cap and weighting."""
+    df = registry.QUERIES["triple_sensitivity"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 60
