@@ -2,11 +2,12 @@
 
 import datetime
 import random
+import re
 
 import duckdb
 import pytest
 
-from hyperloom.operators import blocks, graphs
+from hyperloom.operators import blocks, graphs, scores
 from hyperloom.operators.hypergraph import Closure
 from hyperloom.plans import registry
 
@@ -75,3 +76,15 @@ def test_triple_sensitivity_has_a_short_plan(spark):
     """The closure's tables are read, not planned anew for each cap and weighting."""
     df = registry.QUERIES["triple_sensitivity"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 60
+
+
+@pytest.mark.parametrize("pairs", [10, 120, 10**9])
+def test_blocks_count_the_cycles_that_joins_list(spark, monkeypatch, pairs):
+    """Four-cycles per edge without a list of them, over blocks of any size and with the wedges of one vertex counted in parts."""
+    monkeypatch.setattr(blocks, "PAIRS", pairs)
+    monkeypatch.setattr(blocks, "WEDGES", 7)
+    c = Closure.of(random_incidence(spark))
+    ends = c.c4.selectExpr("graph", "stack(2, u1, v1, u2, v2) as (u, v)").groupBy("graph", "u", "v").count().collect()
+    listed = {tuple(r)[:3]: r["count"] for r in ends}
+    assert sorted(map(tuple, c.c4_edge_t.collect())) == sorted((*e, listed.get(e, 0)) for e in map(tuple, c.edges.select("graph", "u", "v").collect())) and sum(listed.values()) > 1000
+    assert not re.search("x#.*y#", c.c4_edge_t._jdf.queryExecution().optimizedPlan().toString())
