@@ -183,9 +183,9 @@ def permutation_null_joined(c: Closure, n_perm: int, seed: int = 0, kind: str =
     if kind == "c4":
         p = scores.c4_success(tagged, w)
     elif kind == "path":
-        p = scores.p_succ(tagged, w)
+        p = scores.p_succ(tagged, w, cross=tagged.cross)
     else:
-        p = scores.wedge_weighted_cost(tagged, w).select("graph", F.col("words").alias("p"))
+        p = scores.wedge_weighted_cost(tagged, w, cross=tagged.cross).select("graph", F.col("words").alias("p"))
     return p.select(F.substring_index("graph", "#", 1).alias("graph"), F.substring_index("graph", "#", -1).cast("long").alias("seed"), F.col("p").alias("perm"))
 
 

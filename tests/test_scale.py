@@ -54,6 +54,7 @@ def test_blocks_find_what_joins_find(spark, monkeypatch, pairs):
     monkeypatch.setattr(blocks, "PAIRS", pairs)
     monkeypatch.setattr(blocks, "WEDGES", 7)
     monkeypatch.setattr(blocks, "CELLS", 60)
+    monkeypatch.setattr(blocks, "PART", 5)
     inc = random_incidence(spark)
     c, plain = Closure.of(inc), Closure.of(inc)
     assert (len(c.blocks.bounds) == 0) == (pairs == 10**9)
@@ -88,3 +89,31 @@ def test_blocks_count_the_cycles_that_joins_list(spark, monkeypatch, pairs):
     listed = {tuple(r)[:3]: r["count"] for r in ends}
     assert sorted(map(tuple, c.c4_edge_t.collect())) == sorted((*e, listed.get(e, 0)) for e in map(tuple, c.edges.select("graph", "u", "v").collect())) and sum(listed.values()) > 1000
     assert not re.search("x#.*y#", c.c4_edge_t._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("pairs", [10, 120])
+def test_blocks_weigh_as_joins_do(spark, monkeypatch, pairs):
+    """Weights meet the triangles where these are listed, so no listed triangle is shuffled; an edge without a weight meets none."""
+    monkeypatch.setattr(blocks, "PAIRS", pairs)
+    c = Closure.of(random_incidence(spark)).persisted()
+    for w in (scores.weighting(c, "perfect"), scores.weighting(c, "mindeg").drop("t").filter("u % 3 > 0")):
+        found, want = scores._weighed(c, w, None), scores.weighted_cross(c.cross, w)
+        rows = lambda df: sorted(map(tuple, df.select(*want.columns).collect()))
+        assert rows(found) == rows(want) and found.count() > 20
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        for f in (scores.p_succ, scores.second_moment):
+            assert [r[1] for r in f(c, w).orderBy("graph").collect()] == pytest.approx([r[1] for r in f(c, w, cross=c.cross).orderBy("graph").collect()])
+
+
+def joins(plan):
+    """The joins of a plan."""
+    below = [x for i in range(plan.children().size()) for x in joins(plan.children().apply(i))]
+    return [plan, *below] if plan.nodeName() == "Join" else below
+
+
+@pytest.mark.parametrize("name", ["edge_local_cost", "normalizer_inflation"])
+def test_edges_do_not_meet_their_graph_by_a_join(spark, name):
+    """A join by the graph's name alone would put all edges into one task; both sides are sums."""
+    found = joins(registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan())
+    alone = [j for j in found if j.condition().toString().count("=") == 1 and "(graph" in j.condition().toString()]
+    assert alone and all("Aggregate" in side.toString() for j in alone for side in (j.left(), j.right()))
