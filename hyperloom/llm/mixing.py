@@ -122,7 +122,8 @@ def _mix(sized: DataFrame, plan: MixPlan) -> DataFrame:
     pieces = full.select("sid", "at", "size", "block", F.explode(F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))).alias("block_no"))
     first = F.greatest(F.col("block_no") * F.col("block") - F.col("at"), F.lit(0))
     last = F.least(F.col("stop") - F.col("at"), F.col("size"))
-    taken = pieces.join(schedule(spark, sources, plan), ["sid", "block_no"]).select("sid", "at", "cycle", first.alias("first"), last.alias("last")).filter("first < last")
+    # Spark takes the pieces for as small as the rows they come from, and would broadcast millions of them
+    taken = pieces.hint("merge").join(schedule(spark, sources, plan), ["sid", "block_no"]).select("sid", "at", "cycle", first.alias("first"), last.alias("last")).filter("first < last")
     # blocks of one cycle are taken from the source's start on, so a row's pieces of a cycle adjoin
     spans = taken.groupBy("sid", "at", "cycle").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("last") - F.col("first")).alias("words"))
     spans = spans.groupBy("sid", "at").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("cycle", "first", "last"))).alias("spans"))

@@ -197,3 +197,11 @@ def test_equal_rows_are_told_apart(spark):
     one, two = (told_apart(x, "o", "row", 5000) for x in (rows, written(rows.repartition(7), "again")))
     assert one.select("o").distinct().count() == 5000
     assert sorted(q.o for q in one.collect()) == sorted(q.o for q in two.collect())
+
+
+def test_mixing_broadcasts_no_pieces(spark):
+    """Pieces are many more than the documents whose size Spark takes them for; sent to all, they went through the driver."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution()
+    at = plan.sparkPlan().toString().splitlines()
+    assert any("SortMergeJoin" in x and "block_no" in x for x in at) and not any("BroadcastHashJoin" in x and "block_no" in x for x in at)
